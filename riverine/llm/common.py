@@ -60,25 +60,27 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, start, columns: str) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, start, columns: str, keep_text=False) -> DataFrame:
     """Row-wise map over texts: doc_id as it is, then the given columns.
 
     start() is called once a task and returns a function from a list of texts
     (None for null) to a list of row tuples.  Ids never leave Arrow, so null
-    and large ids stay exact.
+    and large ids stay exact; an id may be a struct of further columns.
+    keep_text hands the text through as well.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     rows = texts(df, id_col, text_col)
-    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(columns)])
-    kinds = to_arrow_schema(schema)
+    schema = StructType([rows.schema["doc_id"], *[rows.schema["text"]] * keep_text, *StructType.fromDDL(columns)])
+    kinds, first = to_arrow_schema(schema), 1 + keep_text
 
     def run(batches):
         judge = start()
         for batch in batches:
-            found = list(zip(*judge(batch.column("text").to_pylist()), strict=True)) or [()] * (len(kinds) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(kinds[0].type)] + [pa.array(x, kinds[i + 1].type) for i, x in enumerate(found)], schema=kinds)
+            found = list(zip(*judge(batch.column("text").to_pylist()), strict=True)) or [()] * (len(kinds) - first)
+            given = [batch.column(n).cast(kinds.field(n).type) for n in ("doc_id", "text")[:first]]
+            yield pa.RecordBatch.from_arrays(given + [pa.array(x, kinds[i + first].type) for i, x in enumerate(found)], schema=kinds)
 
     return rows.mapInArrow(run, schema)

@@ -168,7 +168,7 @@ def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
     return Identifier(order, **kinds).fit(by)
 
 
-def identify_languages(df: DataFrame, model: Identifier, id_col="doc_id", text_col="text") -> DataFrame:
+def identify_languages(df: DataFrame, model: Identifier, id_col="doc_id", text_col="text", keep_text=False) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, rejected; one pass, no shuffle.
 
     The model (a few MB per language) is a broadcast variable: its size is
@@ -180,4 +180,4 @@ def identify_languages(df: DataFrame, model: Identifier, id_col="doc_id", text_c
         known: dict = {}
         return lambda found: sent.value.judge(found, known)
 
-    return map_texts(df, id_col, text_col, start, "lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_texts(df, id_col, text_col, start, "lang_pred string, score double, cross_entropy double, rejected boolean", keep_text)

@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
+from . import ann, bpe, langid, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 #: For the demonstration queries; a deployment passes its own secret.
 PII_KEY = b"riverine demonstration key"
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = langid.held_out(docs, "doc_id", 3, 1)
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_suffix, op5_pii, op6_bpe, op7_simhash, op8_warc, op9_langid, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_toxicity, op3_quality, op4_suffix, op5_pii, op6_bpe, op7_simhash, op8_warc, op9_langid, op10_packing)}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
