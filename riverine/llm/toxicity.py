@@ -60,15 +60,24 @@ class NoisyOr:
         if len(set(y)) < 2:
             return self
         number: dict[str, int] = {}
-        parts = np.array([[number.setdefault(f, len(number)) for f in features(w)] for w in ids])
+        parts = np.array([[number.setdefault(f, len(number)) for f in features(w)] for w in ids], np.int32)
+        del ids
+        times = np.zeros(len(number), np.int64)
+        for d in words:
+            times[np.unique(parts[np.unique(d)])] += 1
+        keep = times >= max(3, min_share * len(words))
+        names, parts = np.array(list(number))[keep], np.where(keep[parts], (np.cumsum(keep) - 1)[parts], -1).astype(np.int32)
+        del number
         y, n_sent, n = np.array(y, float), np.array(n_sent), len(size)
         start, doc = np.concatenate([[0], np.cumsum(n_sent)[:-1]]), np.repeat(np.arange(len(y)), n_sent)
-        word, sentence = parts[np.concatenate(words)].ravel(), np.repeat(np.arange(n), np.array(size) * parts.shape[1])
-        times = np.bincount(np.unique(doc[sentence] * len(number) + word) % len(number), minlength=len(number))
-        keep = times >= max(3, min_share * len(y))
-        names = np.array(list(number))[keep]
-        on = keep[word]
-        word, sentence = (np.cumsum(keep) - 1)[word[on]], sentence[on]
+        found, cells, at = [], [], 0
+        for d, m in zip(words, n_sent, strict=True):  # a document at a time: few words have a feature that stays
+            word = parts[d]
+            cells.append(np.repeat(np.arange(at, at + m, dtype=np.int32), size[at : at + m])[np.nonzero(word >= 0)[0]])
+            found.append(word[word >= 0])
+            at += m
+        word, sentence = np.concatenate(found), np.concatenate(cells)
+        del words, found, cells, parts
         share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
         w, b = np.zeros(len(names)), -4.0
         first, second, first_b, second_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -110,7 +119,7 @@ class NoisyOr:
         return float(1 - np.exp(none)), best, None if best is None else best_p, bad
 
 
-def fit_toxicity(labelled: DataFrame, text_col="text", label_col="toxic", id_col="doc_id", max_docs=8000, **kinds) -> NoisyOr:
+def fit_toxicity(labelled: DataFrame, text_col="text", label_col="toxic", id_col="doc_id", max_docs=4000, **kinds) -> NoisyOr:
     """labelled: rows that may be learned from, each with its label."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and text is not null")
     found = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(max_docs // 2).collect()]
