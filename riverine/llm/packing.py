@@ -57,38 +57,75 @@ class Packer:
             self.open.append((room - n, held))
 
 
-def tokenizer(path: str, pattern: str):
-    """text -> array of ids, by the tokenizers library; each different piece of the pattern once."""
-    from tokenizers import Tokenizer
-
-    known: dict[str, int] = {}
-    tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
-    split = splitter(pattern)
-    state = {"flat": np.zeros(0, np.uint32), "begin": np.zeros(0, np.int64), "count": np.zeros(0, np.int64)}
-
-    def encode(found: list[str | None]):
-        parts = [split(x) if x else [] for x in found]
-        if len(known) > KNOWN:
-            known.clear()
-            state.update(flat=np.zeros(0, np.uint32), begin=np.zeros(0, np.int64), count=np.zeros(0, np.int64))
-        new = list(dict.fromkeys(x for p in parts for x in p if x not in known))
-        for begin in range(0, len(new), 20_000):
-            some = new[begin : begin + 20_000]
-            ids = [x.ids for x in tk.encode_batch_fast(some, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
-            base = len(state["flat"])
-            state["begin"] = np.concatenate([state["begin"], base + np.cumsum(count) - count])
-            state["count"] = np.concatenate([state["count"], count])
-            state["flat"] = np.concatenate([state["flat"], np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
-        for pieces in parts:
-            at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-            count = state["count"][at]
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            yield state["flat"][np.repeat(state["begin"][at], count) + within]
-
-    return encode
+class _Numbers(dict):
+    """piece -> its number; pieces not seen before get the next one and wait in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class Ids:
+    """Texts -> arrays of ids, by a byte-level model of the tokenizers library.
+
+    The text is split by the pattern; the library's model encodes each
+    different piece once.  What is known stays with the Python worker for its
+    next tasks, up to KNOWN pieces.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.split, self.letters = Tokenizer.from_file(path), splitter(pattern), _byte_letters()
+        self.model = self.tokenizer.model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.flat, self.begin, self.count = _Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        tokens, letters = self.model.tokenize, self.letters
+        ids = [[t.id for t in tokens(x.encode("utf-8", "replace").decode("latin-1").translate(letters))] for x in new]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))])
+
+    def encode(self, found: list[str | None]) -> list[np.ndarray]:
+        if len(self.numbers) > KNOWN:
+            self._clear()
+        at = [np.fromiter(map(self.numbers.__getitem__, self.split(x)), np.int64) if x else np.zeros(0, np.int64) for x in found]
+        self._learn()
+        out = []
+        for pieces in at:
+            count = self.count[pieces]
+            end = np.cumsum(count)
+            out.append(self.flat[np.repeat(self.begin[pieces] - end + count, count) + np.arange(end[-1] if len(end) else 0)])
+        return out
+
+
+_KEPT: dict[tuple[str, str], Ids] = {}
+
+
+def tokenizer(path: str, pattern: str) -> Ids:
+    if (path, pattern) not in _KEPT:
+        _KEPT[path, pattern] = Ids(path, pattern)
+    return _KEPT[path, pattern]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -115,7 +152,7 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, id_col="doc_id", text
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        packer, encode, number = Packer(size, windows, min_cut), tokenizer(tokenizer_path, pattern), part << 32
+        packer, encode, number = Packer(size, windows, min_cut), tokenizer(tokenizer_path, pattern).encode, part << 32
 
         def close(held, room):
             nonlocal number
@@ -131,9 +168,9 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, id_col="doc_id", text
 
         for batch in batches:
             docs, found = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for begin in range(0, len(docs), 1000):
+            for begin in range(0, len(docs), 500):
                 done = []
-                for doc, ids in zip(docs[begin : begin + 1000], encode(found[begin : begin + 1000]), strict=True):
+                for doc, ids in zip(docs[begin : begin + 500], encode(found[begin : begin + 500]), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     total, at = len(ids), 0
                     while total - at >= size:
