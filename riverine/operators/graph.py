@@ -183,8 +183,37 @@ def settle(group: pd.DataFrame, angle_scale: float) -> list[tuple]:
     return [(n, *x) for n, x in sorted(done.items())]
 
 
-def spanning_forest(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Edges (a, b, weight) of a minimum spanning forest (Boruvka); ties by (weight, a, b)."""
+def _kruskal(batches):
+    """Edges of one task that its own spanning forest keeps; ascending by (weight, a, b)."""
+    rows = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": [], "weight": []})])
+    rows = rows.sort_values(["weight", "a", "b"], kind="stable")
+    up: dict = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    keep = []
+    for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+        ra, rb = top(a), top(b)
+        keep.append(ra != rb)
+        up[max(ra, rb)] = min(ra, rb)
+    yield rows[pd.Series(keep, index=rows.index, dtype=bool)] if len(rows) else rows
+
+
+def spanning_forest(edges: DataFrame, rounds: int = 64, one_task: int = 1_000_000) -> DataFrame:
+    """Edges (a, b, weight) of a minimum spanning forest; ties by (weight, a, b).
+
+    What a task's own spanning forest drops can't be in the whole one, so each
+    task filters its edges first; a checked count of at most `one_task` edges
+    is finished in one task, more by Boruvka rounds.
+    """
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight"))
+    edges = cut(edges.mapInPandas(_kruskal, edges.schema))
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInPandas(_kruskal, edges.schema)
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight"))
     e = cut(e)
     names = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("part")))
@@ -236,3 +265,13 @@ def chains(succ: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, *by, order) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def reach_max(succ: DataFrame) -> DataFrame:
+    """(node, most): the greatest amount of a node and all above it in a forest of (node, next, amount), by pointer doubling."""
+    state = cut(succ.select("node", F.col("next").alias("far"), F.col("amount").alias("most")))
+    while state.where("far is not null").take(1):
+        given = state.where("far is not null").groupBy(F.col("far").alias("node")).agg(F.max("most").alias("more"))
+        hop = state.select(F.col("node").alias("far"), F.col("far").alias("beyond"))
+        state = cut(state.join(hop, "far", "left").join(given, "node", "left").select("node", F.col("beyond").alias("far"), F.greatest("most", F.coalesce("more", "most")).alias("most")))
+    return state.select("node", "most")
