@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -60,6 +61,25 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def pieces(batches, rows: int = 1000):
+    """The Arrow batches in slices of at most so many rows; what is freed goes back to the system at the end.
+
+    Python workers are reused by later tasks and stages, so memory that one
+    keeps counts against the executor for good.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        return
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, start, columns: str, keep_text=False) -> DataFrame:
     """Row-wise map over texts: doc_id as it is, then the given columns.
 
@@ -78,7 +98,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, start, columns: str, ke
 
     def run(batches):
         judge = start()
-        for batch in batches:
+        for batch in pieces(batches):
             found = list(zip(*judge(batch.column("text").to_pylist()), strict=True)) or [()] * (len(kinds) - first)
             given = [batch.column(n).cast(kinds.field(n).type) for n in ("doc_id", "text")[:first]]
             yield pa.RecordBatch.from_arrays(given + [pa.array(x, kinds[i + first].type) for i, x in enumerate(found)], schema=kinds)

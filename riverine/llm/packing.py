@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import KNOWN, splitter
-from .common import texts, written
+from .common import pieces as slices, texts, written
 
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -166,20 +166,18 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, id_col="doc_id", text
             doc, begin, ids, total = piece
             return (doc, begin, ids[:k], total), (doc, begin + k, ids[k:], total)
 
-        for batch in batches:
-            docs, found = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for begin in range(0, len(docs), 500):
-                done = []
-                for doc, ids in zip(docs[begin : begin + 500], encode(found[begin : begin + 500]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    total, at = len(ids), 0
-                    while total - at >= size:
-                        done += close([(doc, at, ids[at : at + size], total)], 0)
-                        at += size
-                    if at < total:
-                        for held in packer.add((doc, at, ids[at:].copy(), total), total - at, cut):
-                            done += close(held, 0)
-                yield emit(done)
+        for batch in slices(batches, 500):
+            done = []
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
+                total, at = len(ids), 0
+                while total - at >= size:
+                    done += close([(doc, at, ids[at : at + size], total)], 0)
+                    at += size
+                if at < total:
+                    for held in packer.add((doc, at, ids[at:].copy(), total), total - at, cut):
+                        done += close(held, 0)
+            yield emit(done)
         yield emit([x for room, held in packer.open for x in close(held, room)])
 
     def join(key, group: pa.Table) -> pa.Table:

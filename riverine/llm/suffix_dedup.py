@@ -33,7 +33,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts, written
+from .common import pieces, texts, written
 
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +149,7 @@ def contexts(raws: list[bytes], length: int, k: int):
 def _batches(batches, names, most=3_000_000, column="raw"):
     """Lists of rows, as many as have about most bytes."""
     held, weight = [], 0
-    for batch in batches:
+    for batch in pieces(batches):
         for row in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
             held.append(row)
             weight += len(row[names.index(column)] or b"")
@@ -203,7 +203,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in pieces(batches):
             for raw, cuts in zip(batch.column("raw"), batch.column("cuts"), strict=True):
                 raw = raw.as_py()
                 for x in cuts.as_py():
@@ -235,9 +235,9 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), flag_kinds, strict=True)], schema=flag_kinds) if rows else None
 
         held, weight = [], 0
-        for batch in batches:  # sorted by key; a block takes whole keys
+        for batch in pieces(batches):  # sorted by key; a block takes whole keys
             for row in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "n", "raw")), strict=True):
-                if weight >= 2_000_000 and row[0] != held[-1][0]:
+                if weight >= 1_000_000 and row[0] != held[-1][0]:
                     if got := solve(held):
                         yield got
                     held, weight = [], 0
@@ -259,7 +259,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
     kinds = to_arrow_schema(out)
 
     def strike(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for raw, found in zip(batch.column("raw"), batch.column("hits"), strict=True):
                 raw, found = raw.as_py(), found.as_py()

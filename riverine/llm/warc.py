@@ -24,7 +24,7 @@ from urllib.parse import quote, unquote
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import pieces, written
 
 MAGIC = 0x184D2A5D
 #: First bytes of each zstd frame.
@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="
         from pyspark import TaskContext
 
         part, number, held, weight = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for r in zip(*(batch.column(x).to_pylist() for x in ("page_id", "url", "digest", "size", "refers_to", "html")), strict=True):
                 page_id, url, digest, size, refers_to, html = r
                 held.append(record(page_id, url or "", "response" if html is not None else "revisit", refers_to, size, digest, (html or "").encode()))
