@@ -19,9 +19,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = langid.held_out(docs, "doc_id", 3, 1)
-    known = docs.where(~out).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(known))
+    model = toxicity.fit_toxicity(docs.where(~langid.held_out(docs, "doc_id", 3, 1)), labels)
+    scored = toxicity.score_toxicity(docs, model)
     return scored.withColumn("held_out", langid.held_out(scored, "doc_id", 3, 1)).select("doc_id", "held_out", "score", "predicted", "worst_sentence", "worst_p", F.size("offending").alias("n_offending"))
 
 

@@ -106,8 +106,9 @@ class NoisyOr:
             known.clear()
         get, none, best, best_p, bad = self.weights.get, 0.0, None, -1.0, []
         found = bags(text)
-        for w in {w for _, words in found for w in words} - known.keys():
-            known[w] = sum([get(f, 0.0) for f in features(w)])
+        for w in {w for _, words in found for w in words}:
+            if w not in known:
+                known[w] = sum([get(f, 0.0) for f in features(w)])
         for i, words in found:
             z = self.bias + sum([known[w] for w in set(words)])
             none -= float(np.logaddexp(0, z)) if z > -30 else 0.0
@@ -119,11 +120,19 @@ class NoisyOr:
         return float(1 - np.exp(none)), best, None if best is None else best_p, bad
 
 
-def fit_toxicity(labelled: DataFrame, text_col="text", label_col="toxic", id_col="doc_id", max_docs=4000, **kinds) -> NoisyOr:
-    """labelled: rows that may be learned from, each with its label."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and text is not null")
-    found = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "text").limit(max_docs // 2).collect()]
-    return NoisyOr().fit([r["text"] for r in found], [r["y"] for r in found], **kinds)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000, **kinds) -> NoisyOr:
+    """Fit on at most max_docs of docs (the rows that may be learned from) that labels has a label for.
+
+    The sample is drawn on ids alone, so no text is shuffled; its ids (at most
+    max_docs rows) are then broadcast to the scan that fetches the texts.
+    """
+    ids = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    rows = ids.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct(), "id").withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    one = [rows.where(F.col("y") == y).orderBy("h", "id").limit(max_docs // 2) for y in (0, 1)]
+    sample = one[0].unionByName(one[1])
+    fetched = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where("text is not null").limit(2 * max_docs)
+    found = sorted((r["h"], str(r["id"]), r["text"], r["y"]) for r in fetched.collect())
+    return NoisyOr().fit([x[2] for x in found], [x[3] for x in found], **kinds)
 
 
 def score_toxicity(df: DataFrame, model: NoisyOr, id_col="doc_id", text_col="text", threshold=0.7) -> DataFrame:
