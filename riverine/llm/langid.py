@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import map_texts
 
 WORDS = re.compile(r"[^\W\d_]+").findall
-KNOWN = 400_000
+#: Most words a task remembers.
+KNOWN = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,6 +90,23 @@ class Model:
         return -np.log(p)
 
 
+class Known(dict):
+    """word -> row of nats (one column per language); words not seen before get the next row and wait in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new, self.nats = [], np.zeros(0)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def clear(self) -> None:
+        super().clear()
+        self.__init__()
+
+
 class Identifier:
     """Models of all languages with the calibrated limits."""
 
@@ -127,43 +145,41 @@ class Identifier:
                 out[begin : begin + len(part), k] = np.add.reduceat(m.nats(grams, contexts)[back], start)
         return out, sum(map(len, words)) + len(words)
 
-    def judge(self, found: list[str | None], known: dict) -> list[tuple]:
+    def judge(self, found: list[str | None], known: Known) -> list[tuple]:
         """(language, score, cross-entropy, rejected) of each text."""
         if not self.names:
             return [("und", 0.0, None, True)] * len(found)
+        if len(known) > KNOWN:
+            known.clear()
+        parts = [WORDS(x.lower()) if x else [] for x in found]
+        rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in parts]
+        if known.new:
+            known.nats = np.concatenate([known.nats.reshape(-1, len(self.names)), self.words_nats(known.new)[0]])
+            known.new = []
         out = []
-        for begin in range(0, len(found), 1000):
-            part = [WORDS(x.lower()) if x else [] for x in found[begin : begin + 1000]]
-            if len(known) > KNOWN:
-                known.clear()
-            new = list({w for x in part for w in x if w not in known})
-            if new:
-                known.update(zip(new, map(tuple, self.words_nats(new)[0].tolist()), strict=True))
-            for words in part:
-                if not words:
-                    out.append(("und", 0.0, None, True))
-                    continue
-                total = np.array([known[w] for w in words]).sum(0) / (sum(map(len, words)) + len(words))
-                best = int(total.argmin())
-                score = 1 / np.exp(self.sharpness * (total[best] - total)).sum()
-                out.append((self.names[best], float(score), float(total[best]), bool(total[best] > self.limits[best])))
+        for words, at in zip(parts, rows, strict=True):
+            if not words:
+                out.append(("und", 0.0, None, True))
+                continue
+            total = known.nats[at].sum(0) / (sum(map(len, words)) + len(words))
+            best = int(total.argmin())
+            score = 1 / np.exp(self.sharpness * (total[best] - total)).sum()
+            out.append((self.names[best], float(score), float(total[best]), bool(total[best] > self.limits[best])))
         return out
 
 
 def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", texts_per_language=400, order=5, **kinds) -> Identifier:
-    """Fit on at most texts_per_language texts of each language, those of the smallest id hash."""
-    pick = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    rows = (
-        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        .where("lang is not null and text is not null")
-        .withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-        .withColumn("k", F.row_number().over(pick))
-        .where(F.col("k") <= texts_per_language)
-        .select("lang", "text", "k")
-        .collect()
-    )
+    """Fit on at most texts_per_language texts of each language, those of the smallest id hash.
+
+    The sample is drawn on ids alone; its ids (at most texts_per_language per
+    language) are broadcast to the scan that fetches the texts.
+    """
+    known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
+    pick = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
+    rows = known.join(F.broadcast(ids.groupBy("doc_id", "lang").agg(F.min("k").alias("k"))), ["doc_id", "lang"]).select("lang", "text", "k").collect()
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["k"], r["text"])):
         by.setdefault(r["lang"], []).append(r["text"])
     return Identifier(order, **kinds).fit(by)
 
@@ -177,7 +193,7 @@ def identify_languages(df: DataFrame, model: Identifier, id_col="doc_id", text_c
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        known: dict = {}
+        known = Known()
         return lambda found: sent.value.judge(found, known)
 
     return map_texts(df, id_col, text_col, start, "lang_pred string, score double, cross_entropy double, rejected boolean", keep_text)
