@@ -146,7 +146,7 @@ def contexts(raws: list[bytes], length: int, k: int):
     return text[first], at[first], span, key[first], own, flat, place
 
 
-def _batches(batches, names, most=3_000_000, column="raw"):
+def _batches(batches, names, most=2_000_000, column="raw"):
     """Lists of rows, as many as have about most bytes."""
     held, weight = [], 0
     for batch in pieces(batches):
@@ -177,15 +177,23 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
 
     def cut(batches):
         for rows in _batches(batches, ["rk", "nb", "raw"]):
-            text, at, span, key, own, flat, place = contexts([r[2] for r in rows], length, k)
+            text, at, span, key, _, flat, place = contexts([r[2] for r in rows], length, k)
             digest = xxhash.xxh64_intdigest
             c = np.array([digest(flat[a : a + n]) for a, n in zip(at.tolist(), (span + length - 1).tolist(), strict=True)], np.uint64).view(np.int64)
             rk, nb = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "c": c, "m": own + np.int32(1), "rk": rk[text], "nb": nb[text], "s0": (at - place[text]).astype(np.int32), "span": span.astype(np.int32)})
-
-    every = long.select("rk", "nb", "raw").mapInArrow(cut, "a long, c long, m int, rk long, nb int, s0 int, span int")
-    shared = every.groupBy("a").agg(F.sum("m").alias("m")).where("m > 1").select("a")
-    shared = written(every.drop("m").join(shared, "a"), "contexts")
+            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "c": c, "rk": rk[text], "nb": nb[text], "s0": (at - place[text]).astype(np.int32), "span": span.astype(np.int32)})
+
+    def keys(batches):
+        """Keys with how often they occur, summed over a few MB of text before they are shuffled."""
+        for rows in _batches(batches, ["raw"]):
+            _, _, _, key, own, _, _ = contexts([r[0] for r in rows], length, k)
+            key, back = np.unique(key, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "m": np.bincount(back, own + 1).astype(np.int32)})
+
+    counts = long.select("raw").mapInArrow(keys, "a long, m int")
+    every = long.select("rk", "nb", "raw").mapInArrow(cut, "a long, c long, rk long, nb int, s0 int, span int")
+    shared = counts.groupBy("a").agg(F.sum("m").alias("m")).where("m > 1").select("a")
+    shared = written(every.join(shared, "a"), "contexts")
 
     different = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("rk", "nb", "s0", "span")).alias("rep"))
     weight = different.groupBy("a").agg(F.sum(F.col("rep.span") + (length - 1)).alias("bytes"))
