@@ -105,8 +105,8 @@ def linked(fps: np.ndarray, free: int, bits: int = 3, dense: int = 4096) -> list
     return list(zip(signed[moved].tolist(), signed[root[moved]].tolist(), strict=True))
 
 
-def _links(posted: DataFrame, groups: list[tuple[int, ...]], bits: int, longest: int) -> DataFrame:
-    """Links (a, b) within posting lists; posted: (key, fp), key's high byte the number of its group of positions."""
+def _links(posted: DataFrame, groups: list[tuple[int, ...]], shift: int, bits: int, longest: int) -> DataFrame:
+    """Links (a, b) within posting lists; posted: (key, fp), key >> shift the number of its group of positions."""
     import pyarrow as pa
 
     masks = [((1 << 64) - 1) ^ sum(255 << 8 * p for p in g) for g in groups]
@@ -120,7 +120,7 @@ def _links(posted: DataFrame, groups: list[tuple[int, ...]], bits: int, longest:
             cut = np.flatnonzero(np.diff(key)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
                 if b - a > 1:
-                    found += linked(fp[a:b].view(np.uint64), masks[int(key[a]) >> 56], bits, longest)
+                    found += linked(fp[a:b].view(np.uint64), masks[int(key[a]) >> shift], bits, longest)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=kinds)
 
         for batch in batches:  # sorted by key: all lists but the last of a batch are complete
@@ -150,12 +150,12 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", width=3, bi
     size = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     posted = written(posted.join(size, "key"), "simhash-index")
     short = posted.where(F.col("n") <= longest).select("key", "fp")
-    links = _links(short.repartition("key"), TRIPLES, bits, longest)
+    links = _links(short.repartition("key"), TRIPLES, 56, bits, longest)
     long = posted.where(F.col("n") > longest)
     number = {g: i for i, g in enumerate(FIVES)}
     fives = F.array(*[F.array(*[_key(number[g], g) for g in FIVES if set(t) <= set(g)]) for t in TRIPLES])
     finer = long.select("fp", F.explode(fives[F.shiftrightunsigned("key", 56).cast("int")]).alias("key")).distinct()
-    links = links.unionByName(_links(finer.select("key", "fp").repartition("key"), FIVES, bits, longest))
+    links = links.unionByName(_links(finer.select("key", "fp").repartition("key"), FIVES, 40, bits, longest))
     roots = components(links)
     each = each.join(roots, each.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = each.groupBy("root").agg(F.min("first").alias("component_id"))
