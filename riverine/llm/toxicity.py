@@ -41,12 +41,34 @@ def bags(text: str | None) -> list[tuple[int, list[str]]]:
     return [(i, w) for i, x in enumerate(SENTENCES((text or "").lower())) if (w := WORDS(x))]
 
 
+#: Log odds of the score from which a document counts as toxic.
+_LOG_ODDS = float(np.log(0.7 / 0.3))
+
+
+def _log_odds(log_none):
+    """Log odds of 1 - exp(log_none)."""
+    return np.log(np.maximum(np.expm1(np.clip(-log_none, 1e-12, 500)), 1e-12))
+
+
+def _parting(odds, y, share) -> float:
+    """The middle of the widest gap among the best thresholds by weighted errors."""
+    order = np.argsort(odds)
+    odds, y, share = odds[order], y[order], share[order]
+    wrong = np.concatenate([[0], np.cumsum(np.where(y == 1, share, 0))]) + np.concatenate([np.cumsum(np.where(y == 0, share, 0)[::-1])[::-1], [0]])
+    edges = np.concatenate([[odds[0] - 1], odds, [odds[-1] + 1]])
+    width = np.where(wrong <= wrong.min() + 1e-12, np.diff(edges), -1)
+    k = int(width.argmax())
+    return float((edges[k] + edges[k + 1]) / 2)
+
+
 class NoisyOr:
     def __init__(self):
         self.weights: dict[str, float] = {}
         self.bias = -30.0
+        #: Added to a document's log odds, so that 0.7 is where the training documents part best.
+        self.shift = 0.0
 
-    def fit(self, found: list[str], labels: list[int], min_share=0.004, rounds=120, step=0.3, shrink=2e-3) -> NoisyOr:
+    def fit(self, found: list[str], labels: list[int], min_share=0.004, rounds=120, step=0.3, shrink=3e-3, clean_weight=0.9) -> NoisyOr:
         if len(set(labels)) < 2:
             return self
         ids: dict[str, int] = {}
@@ -78,7 +100,7 @@ class NoisyOr:
             at += m
         word, sentence = np.concatenate(found), np.concatenate(cells)
         del words, found, cells, parts
-        share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        share = np.where(y == 1, (1 - clean_weight) / max(1, y.sum()), clean_weight / max(1, (1 - y).sum()))
         w, b = np.zeros(len(names)), -4.0
         first, second, first_b, second_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, rounds + 1):  # Adam on the label likelihood, then shrinking towards 0
@@ -95,6 +117,7 @@ class NoisyOr:
             w = w + a * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-5)
             b += a * (first_b / (1 - 0.9**t)) / (np.sqrt(second_b / (1 - 0.99**t)) + 1e-5)
             w = np.sign(w) * np.maximum(np.abs(w) - shrink * t**0.5, 0)
+        self.shift = float(np.clip(_LOG_ODDS - _parting(_log_odds(np.add.reduceat(-np.logaddexp(0, b + np.bincount(sentence, w[word], n)), start)), y, share), -4, 1))
         self.weights, self.bias = {str(names[i]): float(w[i]) for i in np.flatnonzero(w)}, float(b)
         return self
 
@@ -117,7 +140,8 @@ class NoisyOr:
                 best, best_p = i, float(p)
             if p >= 0.5:
                 bad.append(i)
-        return float(1 - np.exp(none)), best, None if best is None else best_p, bad
+        score = 0.0 if best is None else 1 / (1 + np.exp(-(_log_odds(none) + self.shift)))
+        return float(score), best, None if best is None else best_p, bad
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000, **kinds) -> NoisyOr:
