@@ -3,9 +3,9 @@
 Each task keeps a fixed number of open windows.  A document's tokens are first
 cut into full windows; what remains goes to the open window it fits best.  If
 none fits, the fullest is topped up with the document's first tokens when its
-gap is at least min_cut, emitted, and the rest goes on in a new window.  The
-windows still open when a task ends are merged by the same rule, in groups of
-`merge` tasks.
+gap is at least min_cut, emitted, and the rest goes on in a new window.  When a
+task ends, its emptiest open windows are poured into the others; the one that
+is left of each task is merged with those of up to `merge` tasks, best fit.
 
 Every input token lands in exactly one piece; offsets in a sequence are
 gapless from 0.  Only ids of pieces move, never token arrays.  Cases: null
@@ -57,6 +57,29 @@ class Packer:
             self.open.append((room - n, held))
 
 
+    def rest(self, cut):
+        """(room, pieces) of the windows still open: the emptiest is poured into the gaps of the fullest, so one at most
+        has a gap of min_cut or more."""
+        left, self.open = sorted(self.open, key=lambda x: x[0]), []
+        while left:
+            room, held = left.pop(0)
+            while room >= self.min_cut and left:
+                _, given = left[-1]
+                piece = given.pop()
+                n = len(piece[2]) if hasattr(piece[2], "__len__") else piece[2]
+                if n > room:
+                    piece, tail = cut(piece, room)
+                    given.append(tail)
+                    n = room
+                held.append(piece)
+                room -= n
+                if given:
+                    left[-1] = (left[-1][0] + n, given)
+                else:
+                    left.pop()
+            yield (0 if room < self.min_cut else room), held
+
+
 class _Numbers(dict):
     """piece -> its number; pieces not seen before get the next one and wait in `new`."""
 
@@ -178,7 +201,10 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, id_col="doc_id", text
                     for held in packer.add((doc, at, ids[at:].copy(), total), total - at, cut):
                         done += close(held, 0)
             yield emit(done)
-        yield emit([x for room, held in packer.open for x in close(held, room)])
+        done = []
+        for room, held in packer.rest(cut):
+            done += close(held, room)
+        yield emit(done)
 
     def join(key, group: pa.Table) -> pa.Table:
         """Merges open windows of a group of tasks, largest first."""
