@@ -56,8 +56,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own number of rows in an Arrow batch, and the one used for texts.
+_ROWS, _TEXT_ROWS = "10000", "2000"
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Just (doc_id, text), under those names."""
+    """Just (doc_id, text), under those names.
+
+    Where the session leaves the rows of an Arrow batch at Spark's default,
+    they are lowered: 10,000 long texts on both sides of the pipe, a few times
+    over, are what an executor's memory goes into.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == _ROWS:
+        spark.conf.set(name, _TEXT_ROWS)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
