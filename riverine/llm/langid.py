@@ -5,8 +5,9 @@ between spaces.  A model is a pair of sorted hash arrays: n-grams with their
 discounted share, contexts with the weight of the next lower order.  A text
 gets the language of the lowest cross-entropy per character (ties: the first
 language by name).  Rejection is calibrated: rows of the training part kept
-out of the counts give each language's usual cross-entropy, and a text is
-rejected beyond its language's greatest usual value plus a margin.
+out of the counts give each language's usual cross-entropy, and a text of n
+characters is rejected beyond its language's greatest usual value plus a
+margin plus slack / sqrt(n), for the mean of a few characters says less.
 
 Cases: null texts and texts without a letter get "und", score 0 and are
 rejected; rows with null language aren't learned from; with nothing to learn
@@ -110,8 +111,8 @@ class Known(dict):
 class Identifier:
     """Models of all languages with the calibrated limits."""
 
-    def __init__(self, order: int = 5, margin: float = 0.75, sharpness: float = 8.0):
-        self.order, self.margin, self.sharpness = order, margin, sharpness
+    def __init__(self, order: int = 5, margin: float = 0.75, slack: float = 6.0, sharpness: float = 8.0):
+        self.order, self.margin, self.slack, self.sharpness = order, margin, slack, sharpness
         self.names: list[str] = []
         self.models: list[Model] = []
         self.limits: list[float] = []
@@ -161,10 +162,11 @@ class Identifier:
             if not words:
                 out.append(("und", 0.0, None, True))
                 continue
-            total = known.nats[at].sum(0) / (sum(map(len, words)) + len(words))
+            n = sum(map(len, words)) + len(words)
+            total = known.nats[at].sum(0) / n
             best = int(total.argmin())
             score = 1 / np.exp(self.sharpness * (total[best] - total)).sum()
-            out.append((self.names[best], float(score), float(total[best]), bool(total[best] > self.limits[best])))
+            out.append((self.names[best], float(score), float(total[best]), bool(total[best] > self.limits[best] + self.slack / n**0.5)))
         return out
 
 

@@ -398,6 +398,17 @@ def test_kneser_ney_sums_to_one():
         assert 0.79 < p.sum() <= 1.0001
 
 
+def test_rejection(docs):
+    rows: dict = {}
+    for r in docs.collect():
+        rows.setdefault(r["lang"], []).append(r["text"])
+    m = langid.Identifier().fit(rows)
+    rng = random.Random(10)
+    noise = " ".join("".join(rng.choice("qxzwjkvbpQXZ") for _ in range(9)) for _ in range(60))
+    judged = m.judge([noise, "中文文本没有人学过" * 30, rows["en"][0], " ".join(rows["en"][0].split()[:3])], langid.Known())
+    assert [x[3] for x in judged] == [True, True, False, False]
+
+
 def test_language_odd_cases(spark, docs, odd):
     model = langid.fit_languages(docs)
     got = [(r["doc_id"], r["lang_pred"], r["rejected"]) for r in langid.identify_languages(odd, model).collect()]
