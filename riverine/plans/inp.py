@@ -99,7 +99,7 @@ def rows(section: str, df: DataFrame, order: str, kind: str | None = None) -> Da
     """(section_no, ord, text): one line per row, sorted later by `order`."""
     spec = columns(f"{section}/{kind}" if kind and f"{section}/{kind}" in COLUMNS else section)
     cells = [_text(df, n, d) if i == len(spec) - 1 else F.rpad(_text(df, n, d), F.greatest(F.lit(w), F.length(_text(df, n, d))), F.lit(" ")) for i, (n, w, d) in enumerate(spec)]
-    return df.select(F.lit(ORDER.index(section) + 1).alias("section_no"), F.col(order).cast("string").alias("ord_text"), F.col(order).try_cast("double").alias("ord"), F.rtrim(F.concat_ws(" ", *cells)).alias("text"))
+    return df.select(F.lit(ORDER.index(section) + 1).alias("section_no"), F.col(order).cast("string").alias("ord_text"), F.coalesce(F.col(order).try_cast("double"), F.lit(0.0)).alias("ord"), F.rtrim(F.concat_ws(" ", *cells)).alias("text"))
 
 
 def header(spark: SparkSession, section: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from ..functions import numeric
 from ..network import Network
-from ..operators import design, graph, network as net
+from ..operators import design, dual, graph, network as net, spatial, subcatchments
 from ..params import Parameters
 
 
@@ -127,12 +127,52 @@ def drops(n: Network, p: Parameters) -> Network:
     return n.with_edges(e.withColumn("out_offset", d).drop("u_surface_elevation", "v_surface_elevation"))
 
 
+def no_crossings(n: Network, p: Parameters) -> Network:
+    """Pipes that cross a river go; their nodes stay."""
+    xy = n.nodes.select("node_id", "x", "y")
+    e = _both(n.edges, xy, "x", "y").withColumnsRenamed({"u_x": "ax", "u_y": "ay", "v_x": "bx", "v_y": "by"})
+    rivers = e.where("edge_type = 'river'").select(F.col("id").alias("river_id"), F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by").alias("y1"))
+    hit = spatial.crossing(e.where("edge_type = 'pipe'").select("id", "ax", "ay", "bx", "by"), rivers, p.subcatchments.max_street_length * 2)
+    return n.with_edges(n.edges.join(hit, "id", "left_anti"))
+
+
+def river_channels(n: Network, p: Parameters) -> Network:
+    """channel_width and channel_depth of rivers by what drains to their upper end along the derived forest."""
+    s = n.nodes.select(F.col("node_id").alias("node"), F.col("contributing_area").alias("amount")).join(n.edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("next")), "node", "left")
+    z = n.nodes.select(F.col("node_id").alias("node"), F.col("surface_elevation").alias("z"))
+    c = design.channels(graph.accumulate(s).join(z, "node"), p.channels).select(F.col("node").alias("u"), "width", "depth")
+    river = F.col("edge_type") == "river"
+    e = n.edges.join(c, "u", "left").withColumn("channel_width", F.when(river, F.col("width"))).withColumn("channel_depth", F.when(river, F.col("depth"))).drop("width", "depth")
+    return n.with_edges(e)
+
+
+def orphan_subs(n: Network, p: Parameters) -> Network:
+    """Subcatchments whose outlet reaches no outfall go (a network without subcatchments is left as it is)."""
+    if n.subs is None:
+        return n
+    outfalls = n.nodes.where("node_type like '%outfall'").select(F.col("node_id").alias("node"))
+    return n.with_subs(n.subs.join(subcatchments.orphans(n.subs, n.edges, outfalls).select("sub_id"), "sub_id", "left_anti"))
+
+
+def street_channels(n: Network, p: Parameters) -> Network:
+    """The surface network over the pipes, if it is asked for."""
+    if not p.dual_drainage.enabled:
+        return n
+    pipes_ = n.edges.where("edge_type = 'pipe'")
+    if "lanes" not in pipes_.columns:
+        pipes_ = pipes_.withColumn("lanes", F.lit(None).cast("string"))
+    up = dual.surface_nodes(n.nodes, pipes_, p.dual_drainage)
+    more = dual.channels(pipes_, p.dual_drainage).unionByName(dual.grates(up), allowMissingColumns=True).withColumn("key", F.lit(0))
+    out = n.with_nodes(n.nodes.unionByName(up, allowMissingColumns=True)).with_edges(n.edges.unionByName(more, allowMissingColumns=True))
+    return out if n.subs is None else out.with_subs(dual.rerouted(n.subs, up))
+
+
 STEPS = [
-    Step("remove_unwanted", remove_unwanted), Step("merge_short", merge_short), Step("give_ids", give_ids), Step("both_ways", both_ways), Step("slopes", slopes),
-    Step("weights", weights), Step("derive", derive), Step("pipes", pipes), Step("drops", drops),
+    Step("remove_unwanted", remove_unwanted), Step("merge_short", merge_short), Step("give_ids", give_ids), Step("both_ways", both_ways), Step("no_crossings", no_crossings), Step("slopes", slopes),
+    Step("weights", weights), Step("derive", derive), Step("pipes", pipes), Step("drops", drops), Step("river_channels", river_channels), Step("orphan_subs", orphan_subs), Step("street_channels", street_channels),
 ]
 #: What a bare network leaves out.
-BARE = ("drops",)
+BARE = ("drops", "orphan_subs", "street_channels")
 
 
 def build_pipeline(bare: bool = False) -> Pipeline:
