@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession, functions as F
 
 from ..functions import numeric
 from ..network import Network
-from ..operators import design, dual, graph, network as net, spatial, subcatchments
+from ..operators import design, dual, graph, network as net, ponds, spatial, subcatchments
 from ..params import Parameters
 
 
@@ -46,7 +46,7 @@ class Pipeline:
             if not network.has_drains():
                 return network
             if folder is not None and step.checkpoint:
-                network = save(network, f"{folder}/{step.name}")
+                network = replace(save(network, f"{folder}/{step.name}"), meta=network.meta, crs=network.crs)
         return network
 
 
@@ -167,13 +167,46 @@ def street_channels(n: Network, p: Parameters) -> Network:
     return out if n.subs is None else out.with_subs(dual.rerouted(n.subs, up))
 
 
+def insert_ponds(n: Network, p: Parameters) -> Network:
+    """Ponds of n.meta["ponds"] (pond_id, x, y, area_m2, water) become storage nodes with a connector to the nearest node
+    within max_snap; lakes and ponds without one are left out, and of ponds with one anchor the largest has it."""
+    given = n.meta.get("ponds")
+    if given is None:
+        return n
+    sized = ponds.sized(given.where(F.col("area_m2") >= p.ponds.min_area_m2), p.ponds).where("kind = 'pond'")
+    at = n.nodes.select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = spatial.nearest_points(sized.select("pond_id", "x", "y"), at, p.ponds.max_snap, "pond_id", "node_id")
+    won = ponds.claim(near.join(sized.select("pond_id", "area_m2"), "pond_id").select("pond_id", "area_m2", F.col("node_id").alias("target")))
+    z = n.nodes.select(F.col("node_id").alias("target"), "surface_elevation", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    placed = sized.join(won, "pond_id").join(z, "target")
+    nodes = placed.select(F.col("pond_id").alias("node_id"), "x", "y", "surface_elevation", F.lit(0.0).alias("contributing_area"), F.lit("water_body").alias("node_type"), F.col("area_m2").alias("wb_area_m2"), F.col("volume").alias("wb_volume_m3"), F.col("depth").alias("wb_max_depth"), F.col("orifice").alias("wb_orifice_diam_m"), F.col("weir_crest").alias("wb_weir_crest_m"))
+    links = placed.select(F.col("pond_id").alias("u"), F.col("target").alias("v"), F.lit(0).alias("key"), F.lit("pond_connector").alias("edge_type"), F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")).alias("length"))
+    return n.with_nodes(n.nodes.unionByName(nodes, allowMissingColumns=True)).with_edges(n.edges.unionByName(links, allowMissingColumns=True))
+
+
+def pond_outlets(n: Network, p: Parameters) -> Network:
+    """Each pond connector becomes an outlet junction with orifice, weir and outflow."""
+    if "wb_area_m2" not in n.nodes.columns:
+        return n
+    link = n.edges.where("edge_type = 'pond_connector'").select(F.col("u").alias("pond_id"), F.col("v").alias("anchor"))
+    xy = n.nodes.select(F.col("node_id").alias("anchor"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("surface_elevation").alias("az"))
+    w = n.nodes.where("wb_area_m2 is not null").select(F.col("node_id").alias("pond_id"), "x", "y", F.col("wb_orifice_diam_m").alias("orifice"), F.col("wb_weir_crest_m").alias("weir_crest"))
+    anchor = link.join(xy, "anchor")
+    nodes, edges = ponds.outlet_rows(w, anchor.drop("az"), p.ponds)
+    nodes = nodes.join(anchor.select((-F.col("pond_id")).alias("node_id"), F.col("az").alias("surface_elevation")), "node_id")
+    edges = edges.withColumn("key", F.lit(0)).withColumn("length", F.lit(1.0))
+    return n.with_nodes(n.nodes.unionByName(nodes, allowMissingColumns=True)).with_edges(n.edges.where("edge_type <> 'pond_connector'").unionByName(edges, allowMissingColumns=True))
+
+
 STEPS = [
-    Step("remove_unwanted", remove_unwanted), Step("merge_short", merge_short), Step("give_ids", give_ids), Step("both_ways", both_ways), Step("no_crossings", no_crossings), Step("slopes", slopes),
-    Step("weights", weights), Step("derive", derive), Step("pipes", pipes), Step("drops", drops), Step("river_channels", river_channels), Step("orphan_subs", orphan_subs), Step("street_channels", street_channels),
+    Step("remove_unwanted", remove_unwanted), Step("merge_short", merge_short), Step("insert_ponds", insert_ponds), Step("give_ids", give_ids), Step("both_ways", both_ways), Step("no_crossings", no_crossings), Step("slopes", slopes),
+    Step("weights", weights), Step("derive", derive), Step("pipes", pipes), Step("drops", drops), Step("pond_outlets", pond_outlets), Step("river_channels", river_channels), Step("orphan_subs", orphan_subs), Step("street_channels", street_channels),
 ]
+#: These only act on a network with ponds.
+PONDS = ("insert_ponds", "pond_outlets")
 #: What a bare network leaves out.
 BARE = ("drops", "orphan_subs", "street_channels")
 
 
-def build_pipeline(bare: bool = False) -> Pipeline:
-    return Pipeline([s for s in STEPS if not (bare and s.name in BARE)])
+def build_pipeline(bare: bool = False, with_ponds: bool = False) -> Pipeline:
+    return Pipeline([s for s in STEPS if not (bare and s.name in BARE) and (with_ponds or s.name not in PONDS)])

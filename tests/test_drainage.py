@@ -250,3 +250,13 @@ def test_model_from_lines(spark, tmp_path):
         assert section in text
     between = text[text.index("[CONDUITS]") + 2 : text.index("[ORIFICES]") - 1]
     assert len(between) == 25
+
+
+def test_ponds_in_the_pipeline(spark, tmp_path):
+    nodes, edges = grid(spark)
+    nodes = nodes.withColumn("node_type", F.when(F.col("node_id") == 0, "river_outfall"))
+    water = spark.createDataFrame([(901, 21.0, 12.0, 900.0, "pond"), (902, 22.0, 11.0, 600.0, None), (903, 5.0, 5.0, 900.0, "lake"), (904, 900.0, 900.0, 900.0, "pond")], "pond_id long, x double, y double, area_m2 double, water string")
+    out = build_pipeline(bare=True, with_ponds=True).run(Network(nodes, edges, meta={"ponds": water}), folder=f"file://{tmp_path}")
+    kinds = {r["edge_type"]: r["count"] for r in out.edges.groupBy("edge_type").count().collect()}
+    assert kinds == {"pipe": 15, "orifice": 1, "weir": 1, "pond_outflow": 1}
+    assert {r["node_id"] for r in out.nodes.where("node_type in ('water_body', 'outlet_junction')").collect()} == {901, -901}
