@@ -196,8 +196,13 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
     shared = written(every.join(shared, "a"), "contexts")
 
     different = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("rk", "nb", "s0", "span")).alias("rep"))
-    weight = different.groupBy("a").agg(F.sum(F.col("rep.span") + (length - 1)).alias("bytes"))
-    different = different.join(weight, "a").withColumn("heavy", F.col("bytes") > block_bytes)
+    weight = shared.select("a", "c", "span").distinct().groupBy("a").agg(F.sum(F.col("span") + (length - 1)).alias("bytes"))
+    heavy = written(weight.where(F.col("bytes") > block_bytes).select("a", F.lit(True).alias("heavy")), "heavy")
+    has_heavy = heavy.count()  # few keys as a rule, none most often; the broadcast's size is checked
+    if has_heavy:
+        different = different.join(F.broadcast(heavy) if has_heavy <= 100_000 else heavy, "a", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    else:
+        different = different.withColumn("heavy", F.lit(False))
     wanted = different.groupBy("rep.rk", "rep.nb").agg(F.collect_list(F.struct("a", "c", "n", F.col("rep.s0").alias("s0"), F.col("rep.span").alias("span"), "heavy")).alias("cuts"))
 
     block = StructType.fromDDL("a long, c long, n long, start int, w1 long, w2 long, raw binary")
@@ -230,7 +235,6 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
             yield flush()
 
     blocks = long.select("rk", "nb", "raw").join(wanted, ["rk", "nb"]).select("raw", "cuts").mapInArrow(fetch, block)
-    has_heavy = weight.where(F.col("bytes") > block_bytes).limit(1).count() > 0
     if has_heavy:
         blocks = written(blocks, "blocks")
 
