@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, and on odd inputs."""
 
+import base64
 import hashlib
 import math
 import random
@@ -77,6 +78,35 @@ def test_quality_bands():
     assert not judge("all the same words again " * 300)[6]
 
 
+def test_quality_bands_reject_junk_and_spoilt_tails(docs, spark):
+    rng = random.Random(3)
+    packer = zstandard.ZstdCompressor(level=3)
+    spaced = lambda t, n: " ".join(t[i : i + 40] for i in range(0, len(t), 40))[:n]
+    judge = lambda t: quality._judge(t, packer, quality.BANDS, quality.CHUNK, quality.CHUNK_SHARE)
+    for n in (4000, 8000, 60_000):
+        assert judge(spaced(rng.randbytes(n).hex(), n))[5:7] == (False, False)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    good = [r["text"] for r in docs.join(labels, "doc_id").where("quality = 1").collect()]
+    assert all(x[6] or x[5] for x in map(judge, good))
+    long = [t for t in good if len(t) > 3000 and not judge(t)[5]]
+    assert long
+    for t in long:
+        at, n = len(t) * 7 // 10, len(t) * 3 // 10
+        assert not judge(t[:at] + " " + spaced(base64.b64encode(rng.randbytes(n)).decode(), n))[6]
+        assert not judge(t[:at] + " " + "x" * n)[6]
+
+
+def test_quality_judges_the_tail_and_single_chunks():
+    packer = zstandard.ZstdCompressor(level=3)
+    wide = [(float("inf"), 0.0, 1e9)]
+    judge = lambda t, chunk: quality._judge(t, packer, [(100, 0.0, 2.0), *wide], chunk, 0.1)
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    assert judge(text, 200)[8] == 0
+    assert judge(text[:400] + "x" * 60, 200)[8] == pytest.approx(1 / 3)
+    assert judge("x" * 90, 200)[8] == 1
+
+
 # byte-level BPE
 
 
