@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import graph
-from .spatial import nearest_lines
+from .spatial import near_points, nearest_lines
 
 SPECIAL_TYPES = ("water_body", "outlet_junction", "dummy_river", "river_outfall", "water_body_outfall", "waste", "surface")
 
@@ -39,34 +42,48 @@ def iqr_outliers(edges: DataFrame, by: str, value: str, least: int = 4) -> DataF
     return edges.join(q, by).where(F.col(value) > F.col("fence"))
 
 
-def trunk_bridges(parts: DataFrame, sources: DataFrame, nodes: DataFrame, longest: float, rounds: int = 1000) -> DataFrame:
+def _prim(batches):
+    """Rows that join a further component, nearest first, growing from the seed's; ties: node ids."""
+    rows = pd.concat(list(batches) or [pd.DataFrame({c: [] for c in ("root", "to_root", "distance", "node", "to", "z", "tz", "seed")})], ignore_index=True)
+    arcs: dict = {}
+    for at, (root, into, *key) in enumerate(zip(*[rows[c].tolist() for c in ("root", "to_root", "distance", "node", "to")], strict=True)):
+        arcs.setdefault(into, []).append((*key, root, at))
+    heap, joined, keep, top = [], set(), [], next(iter(rows["seed"].tolist()), None)
+    while top is not None:
+        joined.add(top)
+        for arc in arcs.pop(top, ()):
+            heapq.heappush(heap, arc)
+        while heap and heap[0][3] in joined:
+            heapq.heappop(heap)
+        top = None
+        if heap:
+            *_, top, at = heapq.heappop(heap)
+            keep.append(at)
+    yield rows.iloc[keep]
+
+
+def trunk_bridges(parts: DataFrame, sources: DataFrame, nodes: DataFrame, longest: float) -> DataFrame:
     """(u, v, distance): bridges that join pipe components, nearest first, growing from the component of the lowest node.
 
     parts(node, root); sources(root, node): where a component may be left.
-    Each round joins the unconnected component whose source is nearest to the
-    connected ones (ties: node ids); the higher end is upstream.
+    Always the unconnected component whose source is nearest to the connected
+    ones comes next (ties: node ids), until none is within reach; the higher
+    end is upstream.  Which component is next depends on all joined before, so
+    after the nearest bridge of each pair of components is found, one row a
+    pair, a heap in one task joins them all.
     """
     from .iterate import cut
 
     z = nodes.select(F.col("node_id").alias("node"), "x", "y", F.col("surface_elevation").alias("z"))
     at = cut(parts.join(z, "node"))
-    src = cut(sources.join(z, "node"))
-    first = at.agg(F.min(F.struct("z", "root")).alias("m")).select(F.col("m.root").alias("root"))
-    joined, out = cut(first), None
-    for _ in range(rounds):
-        inside = at.join(joined, "root", "left_semi").select(F.col("node").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
-        waiting = src.join(joined, "root", "left_anti")
-        tile = lambda c: F.floor(F.col(c) / longest)
-        probe = waiting.withColumn("i", F.explode(F.sequence(tile("x") - 1, tile("x") + 1))).withColumn("j", F.explode(F.sequence(tile("y") - 1, tile("y") + 1)))
-        near = probe.join(inside.withColumn("i", tile("tx")).withColumn("j", tile("ty")), ["i", "j"]).withColumn("distance", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).where(F.col("distance") <= longest)
-        best = cut(near.agg(F.min(F.struct("distance", "node", "to", "root", "z", "tz")).alias("m")).where("m is not null").select("m.*"))
-        if not best.take(1):
-            return out if out is not None else best.select(F.col("node").alias("u"), F.col("to").alias("v"), "distance")
-        up = F.coalesce(F.col("z") >= F.col("tz"), F.lit(True))
-        step = best.select(F.when(up, F.col("node")).otherwise(F.col("to")).alias("u"), F.when(up, F.col("to")).otherwise(F.col("node")).alias("v"), "distance")
-        out = step if out is None else cut(out.unionByName(step))
-        joined = cut(joined.unionByName(best.select("root")))
-    return out
+    first = at.agg(F.min(F.struct("z", "root")).alias("m")).select(F.col("m.root").alias("seed"))
+    to = at.select(F.col("root").alias("to_root"), F.col("node").alias("to"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("tz"))
+    near = near_points(sources.join(z, "node"), to, longest).where("root <> to_root")
+    pairs = near.groupBy("root", "to_root").agg(F.min(F.struct("distance", "node", "to", "z", "tz")).alias("m")).select("root", "to_root", "m.*")
+    pairs = pairs.crossJoin(F.broadcast(first)).repartition(1)
+    best = cut(pairs.mapInPandas(_prim, pairs.schema))
+    up = F.coalesce(F.col("z") >= F.col("tz"), F.lit(True))
+    return best.select(F.when(up, F.col("node")).otherwise(F.col("to")).alias("u"), F.when(up, F.col("to")).otherwise(F.col("node")).alias("v"), "distance")
 
 
 def root_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from . import graph
 from .iterate import cut
 
 
-def dangling(succ: DataFrame, area: DataFrame, keep: DataFrame, least: float, rounds: int = 1000) -> DataFrame:
+def dangling(succ: DataFrame, area: DataFrame, keep: DataFrame, least: float, rounds: int = 10_000) -> DataFrame:
     """(node_id, into): leaves whose chain down to the next kept or branching node has less area than `least` go, again and
     again; into is the node that survives below.  succ(node, next), area(node, area), keep(node)."""
     state = cut(succ.join(area, "node", "left").join(keep.withColumn("kept", F.lit(True)), "node", "left").select("node", "next", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("kept", F.lit(False)).alias("kept")))
@@ -37,6 +37,8 @@ def dangling(succ: DataFrame, area: DataFrame, keep: DataFrame, least: float, ro
         gone = step if gone is None else cut(gone.unionByName(step))
         given = step.join(state.select(F.col("node").alias("node_id"), "area"), "node_id").groupBy(F.col("into").alias("node")).agg(F.sum("area").alias("more"))
         state = cut(state.join(step.select(F.col("node_id").alias("node")), "node", "left_anti").join(given, "node", "left").select("node", "next", (F.col("area") + F.coalesce("more", F.lit(0.0))).alias("area"), "kept"))
+    else:
+        raise RuntimeError("dangling leaves did not end")
     if gone is None:
         return succ.select(F.col("node").alias("node_id"), F.col("next").alias("into")).limit(0)
     end = graph.resolve(gone.select(F.col("node_id").alias("node"), "into"))

@@ -33,7 +33,7 @@ def orphans(subs: DataFrame, edges: DataFrame, outfalls: DataFrame) -> DataFrame
     return subs.join(ok, "outlet_id", "left_anti")
 
 
-def adopt(subs: DataFrame, lost: DataFrame, touching: DataFrame, rounds: int = 100) -> DataFrame:
+def adopt(subs: DataFrame, lost: DataFrame, touching: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Lost subcatchments take the outlet of the settled neighbour of the longest border (a, b, border), round by round, those settled in one round serving in the next."""
     from .iterate import cut
 
@@ -45,7 +45,7 @@ def adopt(subs: DataFrame, lost: DataFrame, touching: DataFrame, rounds: int = 1
         if not got.take(1):
             return settled
         settled, rest = cut(settled.unionByName(got)), cut(rest.join(got, "sub_id", "left_anti"))
-    return settled
+    raise RuntimeError("adoption did not end")
 
 
 def impervious(subs: DataFrame, zonal: DataFrame) -> DataFrame:

@@ -187,6 +187,56 @@ def test_nearest_bridge_joins_parts(spark):
     assert [tuple(r) for r in outfalls.trunk_bridges(parts, src, n, 50.0).collect()] == [(2, 1, 20.0)]
 
 
+def prim(parts, src, xyz, longest):
+    """Bridges as in trunk_bridges, one component at a time over all pairs."""
+    joined, out = {min((xyz[n][2], r) for n, r in parts.items())[1]}, []
+    while True:
+        found = [(math.hypot(xyz[a][0] - xyz[b][0], xyz[a][1] - xyz[b][1]), a, b) for r, a in src.items() if r not in joined for b, p in parts.items() if p in joined]
+        best = min((f for f in found if f[0] <= longest), default=None)
+        if best is None:
+            return out
+        d, a, b = best
+        joined.add(parts[a])
+        out.append((a, b, d) if xyz[a][2] >= xyz[b][2] else (b, a, d))
+
+
+def bridges(spark, parts, src, xyz, longest):
+    n = spark.createDataFrame([(i, *v) for i, v in xyz.items()], "node_id long, x double, y double, surface_elevation double")
+    got = outfalls.trunk_bridges(spark.createDataFrame(list(parts.items()), "node long, root long"), spark.createDataFrame(list(src.items()), "root long, node long"), n, longest)
+    return sorted(tuple(r) for r in got.collect())
+
+
+def test_bridges_are_those_of_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    xyz = {i: (rng.randint(0, 30) * 10.0, rng.randint(0, 30) * 10.0, float(rng.randint(0, 9))) for i in range(120)}
+    parts = {i: i - i % 3 for i in xyz}
+    src = {r: min((xyz[n][2], n) for n in range(r, r + 3))[1] for r in set(parts.values())}
+    for longest in (25.0, 60.0):
+        want = prim(parts, src, xyz, longest)
+        assert bridges(spark, parts, src, xyz, longest) == sorted(want) and want
+
+
+def test_bridges_have_no_limit_of_components(spark):
+    xyz = {i: (10.0 * i, 0.0, float(i)) for i in range(1500)}
+    same = {i: i for i in xyz}
+    assert bridges(spark, same, same, xyz, 15.0) == [(i + 1, i, 10.0) for i in range(1499)]
+
+
+def test_rounds_that_run_out_raise(spark):
+    from riverine.operators import simplify, subcatchments
+
+    s = spark.createDataFrame([(i, 100 + i) for i in range(4)], "sub_id long, outlet_id long")
+    t = spark.createDataFrame([(i + 1, i, 1) for i in range(3)], "a long, b long, border int")
+    assert {r["sub_id"]: r["outlet_id"] for r in subcatchments.adopt(s, s.where("sub_id > 0"), t).collect()} == {i: 100 for i in range(4)}
+    with pytest.raises(RuntimeError):
+        subcatchments.adopt(s, s.where("sub_id > 0"), t, rounds=1)
+    succ = spark.createDataFrame([(1, 3), (2, 3), (3, 9), (9, None)], "node long, next long")
+    with pytest.raises(RuntimeError):
+        simplify.dangling(succ, succ.select("node", F.lit(1.0).alias("area")), succ.where("node = 9").select("node"), 100.0, rounds=1)
+
+
 def test_pipeline_resumes(spark, tmp_path):
     nodes, edges = grid(spark)
     nodes = nodes.withColumn("node_type", F.when(F.col("node_id") == 0, "river_outfall"))
