@@ -120,12 +120,11 @@ def dual_grates(spark, d):
 def trunk_inference(spark, d):
     from ..operators import graph
 
-    n = fx.nodes(spark, d).where("node_id < 400")
-    e = fx.edges(spark, d).where("highway = 'primary' and u < 360")
+    n = fx.nodes(spark, d)
+    e = fx.edges(spark, d).where("highway = 'primary'")
     part = graph.components(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
     low = part.join(n.select(F.col("node_id").alias("node"), "surface_elevation"), "node").groupBy("root").agg(F.min(F.struct("surface_elevation", "node")).alias("m")).select("root", "m.node")
-    big = part.groupBy("root").agg(F.count("*").alias("k")).where("k >= 4").select("root")
-    return outfalls.trunk_bridges(part.join(big, "root", "left_semi"), low.join(big, "root", "left_semi"), n, 300)
+    return outfalls.trunk_bridges(part, low, n, 300)
 
 
 MASS = "CASE " + " ".join(f"WHEN h <= {b}::DOUBLE THEN {c}::DOUBLE + (h - {a}::DOUBLE) * ({e}::DOUBLE - {c}::DOUBLE) / ({b}::DOUBLE - {a}::DOUBLE)" for a, b, c, e in zip(storms.HOURS, storms.HOURS[1:], storms.FRACTIONS["III"], storms.FRACTIONS["III"][1:], strict=False)) + " END"

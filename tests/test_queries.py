@@ -43,3 +43,25 @@ def test_against_sql(spark, duck, name):
 def test_others_run(spark, name):
     df = QUERIES[name](spark, DATA)
     assert df.columns and df.count() >= 0
+
+
+def test_trunk_inference_takes_the_whole_network(spark):
+    from pyspark.sql import functions as F
+
+    from riverine.operators import graph
+    from riverine.sources import fixtures as fx
+
+    e = fx.edges(spark, DATA).where("highway = 'primary'")
+    n = {r["node_id"]: r["surface_elevation"] for r in fx.nodes(spark, DATA).collect()}
+    part = {r["node"]: r["root"] for r in graph.components(e.select(F.col("u").alias("a"), F.col("v").alias("b"))).collect()}
+    low = {}
+    for i, r in part.items():
+        low[r] = min(low.get(r, (math.inf, 0)), (n[i], i))
+    place = lambda i: (i % 40 * 50, i // 40 * 50)
+    joined, want = {min((n[i], r) for i, r in part.items())[1]}, []
+    while near := [m for r, (_, a) in low.items() if r not in joined for b, p in part.items() if p in joined and (m := (math.dist(place(a), place(b)), a, b))[0] <= 300]:
+        d, a, b = min(near)
+        joined.add(part[a])
+        want.append((a, b, d) if n[a] >= n[b] else (b, a, d))
+    assert len(part) == e.select(F.explode(F.array("u", "v")).alias("node")).distinct().count()
+    assert sorted(tuple(r) for r in QUERIES["trunk_inference"](spark, DATA).collect()) == sorted(want) and len(want) > 1
