@@ -92,27 +92,30 @@ def burn(cells: DataFrame, streets: DataFrame, depth: float) -> DataFrame:
     return cells.join(s, ["row_", "col_"], "left").select("row_", "col_", (F.col("value") - F.when(F.col("on"), F.lit(float(depth))).otherwise(0.0)).alias("value"))
 
 
-def breach(cells: DataFrame, longest: int = 150) -> DataFrame:
+def breach(cells: DataFrame, rounds: int = 100_000) -> DataFrame:
     """Pits and flats get a way out: the cost of a cell is the least digging on a way to the border or a gap, and
     each cell drains to the neighbour on its way.  Returns (row_, col_, to_row, to_col) for all cells but outlets.
 
     Own specification (no external tool's result is reproduced): flooding from
     the outlets, a cell's level being the larger of its own value and that of
     the neighbour it drains to; ties by distance in cells, then row, column.
+    Every round takes each cell's best offer anew until all labels agree; a
+    way may be of any length.
     """
     full = cut(cells.where("value is not null"))
     n = cut(neighbours(full))
     inner = n.groupBy("row_", "col_").agg(F.count("*").alias("k"))
-    state = cut(full.join(inner, ["row_", "col_"], "left").select("row_", "col_", "value", F.when(F.coalesce("k", F.lit(0)) < 8, F.struct(F.col("value").alias("level"), F.lit(0).alias("far"), F.lit(-1).cast("long").alias("r"), F.lit(-1).cast("long").alias("c"))).alias("label")))
-    for _ in range(longest):
+    out = F.coalesce("k", F.lit(0)) < 8
+    state = cut(full.join(inner, ["row_", "col_"], "left").select("row_", "col_", out.alias("out"), F.when(out, F.struct(F.col("value").alias("level"), F.lit(0).alias("far"), F.lit(-1).cast("long").alias("r"), F.lit(-1).cast("long").alias("c"))).alias("label")))
+    for _ in range(rounds):
         offer = n.join(state.select(F.col("row_").alias("r2"), F.col("col_").alias("c2"), F.col("label").alias("l2")).where("l2 is not null"), ["r2", "c2"])
         offer = offer.groupBy("row_", "col_").agg(F.min(F.struct(F.greatest("value", F.col("l2.level")).alias("level"), (F.col("l2.far") + 1).alias("far"), F.col("r2").alias("r"), F.col("c2").alias("c"))).alias("o"))
-        nxt = state.join(offer, ["row_", "col_"], "left").select("row_", "col_", "value", F.when(F.col("label").isNull() | (F.col("o") < F.col("label")), F.col("o")).otherwise(F.col("label")).alias("label"), (F.col("o").isNotNull() & (F.col("label").isNull() | (F.col("o") < F.col("label")))).alias("moved"))
+        nxt = state.join(offer, ["row_", "col_"], "left").select("row_", "col_", "out", F.when(F.col("out"), F.col("label")).otherwise(F.col("o")).alias("label"), (~F.col("out") & ~F.col("o").eqNullSafe(F.col("label"))).alias("moved"))
         nxt = cut(nxt)
         state = nxt.drop("moved")
         if not nxt.where("moved").take(1):
-            break
-    return state.where("label.r >= 0").select("row_", "col_", F.col("label.r").alias("to_row"), F.col("label.c").alias("to_col"))
+            return state.where("not out").select("row_", "col_", F.col("label.r").alias("to_row"), F.col("label.c").alias("to_col"))
+    raise RuntimeError("breaching did not settle")
 
 
 def d8(cells: DataFrame) -> DataFrame:

@@ -167,6 +167,47 @@ def test_valley_drains_to_its_floor(spark):
     assert (top["row_"], top["col_"], top["cells"]) == (11, 5, 132)
 
 
+def flooded(cells):
+    """{cell: the neighbour it drains to} by a heap that settles (level, distance) from the outlets inwards."""
+    import heapq
+
+    about = lambda r, c: [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (r + i, c + j) in cells]
+    done, heap = {}, [(v, 0, k) for k, v in cells.items() if len(about(*k)) < 8]
+    outlets = {k for _, _, k in heap}
+    heapq.heapify(heap)
+    while heap:
+        level, far, k = heapq.heappop(heap)
+        if k in done:
+            continue
+        done[k] = (level, far)
+        for b in about(*k):
+            if b not in done and b not in outlets:
+                heapq.heappush(heap, (max(cells[b], level), far + 1, b))
+    return {k: min((max(cells[k], done[b][0]), done[b][1] + 1, b) for b in about(*k))[2] for k in cells if k not in outlets}
+
+
+def test_breach_is_brute_force_and_loses_no_cell(spark):
+    import random
+
+    rng = random.Random(11)
+    cells = {(i, j): float(rng.randint(0, 12)) for i in range(15) for j in range(17) if (i, j) != (4, 9)}
+    # a winding channel: the way out is far longer than the distance to the border
+    for i in range(2, 13):
+        for j in range(2, 15):
+            cells[i, j] = cells[i, j] + 30 if i % 2 and j != (13 if i % 4 == 1 else 3) else 1.0
+    want = flooded(cells)
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row_ long, col_ long, value double")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in raster.breach(df).collect()}
+    assert got == want
+
+
+def test_breach_raises_when_rounds_run_out(spark):
+    df = spark.createDataFrame([(i, j, 1.0) for i in range(9) for j in range(9)], "row_ long, col_ long, value double")
+    with pytest.raises(RuntimeError):
+        raster.breach(df, 2)
+    assert raster.breach(df).count() == 49
+
+
 def test_repair_parts_keeps_area(spark):
     labels = [(0, j, 1 if j < 4 else 2) for j in range(8)] + [(1, j, 2 if j == 0 else 1 if j < 4 else 2) for j in range(8)]
     got = raster.repair_parts(spark.createDataFrame(labels, "row_ long, col_ long, id long")).collect()
