@@ -51,7 +51,7 @@ def reach_ancestors(spark, d):
     whole_="SELECT node_id, x, y FROM fx_nodes WHERE node_id >= 40 AND node_id < 1480 AND node_id < (SELECT max(node_id) / 40 * 40 FROM fx_nodes)",
 )
 def bfs_sink_partition(spark, d):
-    # over whole grid rows, where hops are grid distances
+    # over whole grid rows, where hops are grid distances, as in the SQL; bfs_sink_partition_whole takes all rows
     n = fx.nodes(spark, d)
     last = n.agg((F.max("node_id") / 40 * 40).alias("last"))
     n = n.crossJoin(F.broadcast(last)).where("node_id >= 40 and node_id < 1480 and node_id < last").select(F.col("node_id").alias("node"))
@@ -59,6 +59,13 @@ def bfs_sink_partition(spark, d):
     return graph.reach(network.double_directed(e.select("u", "v", "id")), n.where("node % 211 = 5"), backwards=True)
 
 
+@query()
+def bfs_sink_partition_whole(spark, d):
+    """Over all nodes and edges, where hops need not be grid distances."""
+    starts = fx.nodes(spark, d).where("node_id % 211 = 5").select(F.col("node_id").alias("node"))
+    return graph.reach(network.double_directed(fx.edges(spark, d).select("u", "v", "id")), starts, backwards=True)
+
+
 @query("SELECT node, CAST(max(hops) AS INTEGER) AS level FROM up_ GROUP BY node", succ_=SUCC, up_="SELECT node, 0 AS hops, node AS leaf FROM succ_ UNION ALL SELECT s.next, u.hops + 1, u.leaf FROM up_ u JOIN succ_ s ON s.node = u.node WHERE s.next IS NOT NULL")
 def topological_levels(spark, d):
     return graph.levels(succ(spark, d))

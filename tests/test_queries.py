@@ -65,3 +65,22 @@ def test_trunk_inference_takes_the_whole_network(spark):
         want.append((a, b, d) if n[a] >= n[b] else (b, a, d))
     assert len(part) == e.select(F.explode(F.array("u", "v")).alias("node")).distinct().count()
     assert sorted(tuple(r) for r in QUERIES["trunk_inference"](spark, DATA).collect()) == sorted(want) and len(want) > 1
+
+
+def test_bfs_whole_is_brute_force(spark):
+    from riverine.sources import fixtures as fx
+
+    next_to = {}
+    for r in fx.edges(spark, DATA).collect():
+        next_to.setdefault(r["u"], set()).add(r["v"])
+        next_to.setdefault(r["v"], set()).add(r["u"])
+    best = {}
+    for start in [r["node_id"] for r in fx.nodes(spark, DATA).collect() if r["node_id"] % 211 == 5]:
+        seen, front, hops = set(), {start}, 0
+        while front:
+            for i in front:
+                best[i] = min(best.get(i, (math.inf, 0)), (hops, start))
+            seen |= front
+            front, hops = {b for i in front for b in next_to.get(i, ())} - seen, hops + 1
+    got = {r["node"]: (r["hops"], r["source"]) for r in QUERIES["bfs_sink_partition_whole"](spark, DATA).collect()}
+    assert got == best and set(got) == set(next_to)
