@@ -196,6 +196,10 @@ def watershed_label(spark, d):
 LAND = "SELECT row_, col_, CAST(floor(coalesce(value, 0)) AS BIGINT) % 3 AS id FROM fx_dem"
 
 
+def land(spark, d):
+    return fx.dem(spark, d).select("row_", "col_", (F.floor(F.coalesce("value", F.lit(0.0))).cast("long") % 3).alias("id"))
+
+
 @query("SELECT id, arg_min(near, (-border, near)) AS near, max(border) AS border FROM (SELECT a.id, b.id AS near, count(*) AS border FROM land_ a JOIN land_ b ON abs(a.row_ - b.row_) + abs(a.col_ - b.col_) = 1 AND a.id <> b.id GROUP BY 1, 2) GROUP BY id", land_="SELECT row_, col_, CAST(floor(row_ / 3.0) * 7 + floor(col_ * (1 + row_ % 3) / 20.0) AS BIGINT) AS id FROM fx_dem")
 def longest_border(spark, d):
     k = (F.floor(F.col("row_") / 3) * 7 + F.floor(F.col("col_") * (1 + F.col("row_") % 3) / 20)).cast("long")
@@ -209,8 +213,13 @@ def longest_border(spark, d):
         JOIN land_ b ON b.id = a.id AND abs(a.row_ - b.row_) + abs(a.col_ - b.col_) = 1""",
 )
 def raster_regions(spark, d):
-    c = fx.dem(spark, d).where("row_ < 12 and col_ < 14")
-    return raster.regions(c.select("row_", "col_", (F.floor(F.coalesce("value", F.lit(0.0))).cast("long") % 3).alias("id")))
+    # as in the SQL, whose recursive walk is quadratic; raster_regions_whole takes all cells
+    return raster.regions(land(spark, d).where("row_ < 12 and col_ < 14"))
+
+
+@query()
+def raster_regions_whole(spark, d):
+    return raster.regions(land(spark, d))
 
 
 @query()

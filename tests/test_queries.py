@@ -84,3 +84,19 @@ def test_bfs_whole_is_brute_force(spark):
             front, hops = {b for i in front for b in next_to.get(i, ())} - seen, hops + 1
     got = {r["node"]: (r["hops"], r["source"]) for r in QUERIES["bfs_sink_partition_whole"](spark, DATA).collect()}
     assert got == best and set(got) == set(next_to)
+
+
+def test_regions_whole_is_brute_force(spark):
+    from riverine.sources import fixtures as fx
+
+    cells = {(r["row_"], r["col_"]): int(math.floor(r["value"] or 0)) % 3 for r in fx.dem(spark, DATA).collect()}
+    part = {}
+    for start in sorted(cells):  # the least cell of a part is met first
+        front = [start] if start not in part else []
+        while front:
+            r, c = front.pop()
+            if (r, c) not in part:
+                part[r, c] = start[0] * 1_000_000_000 + start[1]
+                front += [b for b in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)) if cells.get(b) == cells[r, c]]
+    got = {(r["row_"], r["col_"]): (r["id"], r["part"]) for r in QUERIES["raster_regions_whole"](spark, DATA).collect()}
+    assert got == {k: (cells[k], part[k]) for k in cells} and len(got) > 168
