@@ -81,8 +81,13 @@ SLOPE = "CASE WHEN zu - zv > 0 AND (zu - zv) / 5 > 0.05::DOUBLE THEN (zu - zv) /
 
 @query(f"SELECT u, v, round({SLOPE}, 6) AS length, round(CASE WHEN zu - zv <= 0 THEN zu - 0.001::DOUBLE * 5 ELSE zv END, 6) AS sink_invert FROM (SELECT u, v, a.surface_elevation AS zu, b.surface_elevation AS zv FROM fx_edges JOIN fx_nodes a ON a.node_id = u JOIN fx_nodes b ON b.node_id = v WHERE u % 25 = 3)")
 def outfall_slope(spark, d):
+    return outfall_slope_whole(spark, d).where("u % 25 = 3")
+
+
+@query()
+def outfall_slope_whole(spark, d):
     n = fx.nodes(spark, d)
-    e = fx.edges(spark, d).where("u % 25 = 3").join(n.select(F.col("node_id").alias("u"), F.col("surface_elevation").alias("zu")), "u").join(n.select(F.col("node_id").alias("v"), F.col("surface_elevation").alias("zv")), "v")
+    e = fx.edges(spark, d).join(n.select(F.col("node_id").alias("u"), F.col("surface_elevation").alias("zu")), "u").join(n.select(F.col("node_id").alias("v"), F.col("surface_elevation").alias("zv")), "v")
     return design.outfall_slopes(e.withColumn("length", F.lit(5.0)), Hydraulics()).select("u", "v", F.round("length", 6).alias("length"), F.round("sink_invert", 6).alias("sink_invert"))
 
 

@@ -45,7 +45,16 @@ def river_crossing_anti(spark, d):
 
 @query("SELECT pond_id, arg_min(node_id, (d, node_id)) AS node_id, round(min(d), 6) AS distance FROM (SELECT *, surface_elevation - 3 + 0.001::DOUBLE * d AS need FROM pairs_ JOIN fx_nodes USING (node_id)) WHERE d <= 200 AND need < 12 AND node_id % 3 = 0 GROUP BY pond_id", pairs_=PAIRS)
 def drainable_anchor(spark, d):
-    n = fx.nodes(spark, d).where("node_id % 3 = 0").select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2"), "surface_elevation")
+    return _anchors(spark, d, fx.nodes(spark, d).where("node_id % 3 = 0"))
+
+
+@query()
+def drainable_anchor_whole(spark, d):
+    return _anchors(spark, d, fx.nodes(spark, d))
+
+
+def _anchors(spark, d, nodes):
+    n = nodes.select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2"), "surface_elevation")
     p = spatial.near_points(fx.ponds(spark, d).select("pond_id", "x", "y"), n, 200).where(F.col("surface_elevation") - 3 + 0.001 * F.col("distance") < 12)
     return p.groupBy("pond_id").agg(F.min(F.struct("distance", "node_id")).alias("m")).select("pond_id", "m.node_id", F.round("m.distance", 6).alias("distance"))
 
@@ -53,7 +62,17 @@ def drainable_anchor(spark, d):
 @query("SELECT a.node_id AS a, b.node_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM fx_nodes a JOIN fx_nodes b ON a.node_id % 9 = 1 AND b.node_id % 11 = 2 AND a.node_id <> b.node_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 120 WHERE NOT EXISTS (SELECT 1 FROM fx_rivers r WHERE least(a.x, b.x) < r.x AND greatest(a.x, b.x) > r.x)")
 def bridge_candidates(spark, d):
     n = fx.nodes(spark, d).select("node_id", "x", "y")
-    p = spatial.near_points(n.where("node_id % 9 = 1"), n.where("node_id % 11 = 2").select(F.col("node_id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), 120).where("node_id <> b")
+    return _bridges(spark, d, n.where("node_id % 9 = 1"), n.where("node_id % 11 = 2"))
+
+
+@query()
+def bridge_candidates_whole(spark, d):
+    n = fx.nodes(spark, d).select("node_id", "x", "y")
+    return _bridges(spark, d, n, n)
+
+
+def _bridges(spark, d, sources, targets):
+    p = spatial.near_points(sources, targets.select(F.col("node_id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), 120).where("node_id <> b")
     p = p.select(F.col("node_id").alias("a"), "b", "distance", F.concat_ws("-", "node_id", "b").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"))
     return p.join(spatial.crossing(p.select("id", "ax", "ay", "bx", "by"), river_lines(spark, d), 200), "id", "left_anti").select("a", "b", F.round("distance", 6).alias("distance"))
 

@@ -83,7 +83,7 @@ def pond_claim(spark, d):
 @query()
 def pond_capacity_fill(spark, d):
     p = fx.ponds(spark, d).select("pond_id", F.col("x").alias("x2"), F.col("y").alias("y2"), (fn.volume(F.col("area_m2"), P) * 2 / (0.0254 * 0.5) / 100).alias("capacity"))
-    n = fx.nodes(spark, d).select("node_id", "x", "y").where("node_id % 2 = 0")
+    n = fx.nodes(spark, d).select("node_id", "x", "y")
     o = spatial.near_points(n, p, P.sub_reroute_max).select("pond_id", "capacity", F.col("node_id").alias("sub_id"), "distance")
     near = F.row_number().over(Window.partitionBy("sub_id").orderBy("distance", "pond_id"))
     o = o.withColumn("k", near).where("k = 1").drop("k").join(fx.subs(spark, d).select("sub_id", (F.col("area") * (1 + F.col("sub_id") % 5)).alias("area")), "sub_id")
@@ -177,7 +177,12 @@ def inp_sections(spark, d):
 
 @query("SELECT node_id, round(3.0::DOUBLE * sqrt(0.3048::DOUBLE), 6) AS metric, 3.0::DOUBLE AS us FROM fx_nodes WHERE node_id < 5")
 def weir_units(spark, d):
-    return fx.nodes(spark, d).where("node_id < 5").select("node_id", F.round(numeric.weir_coefficient(3.0, F.lit("LPS")), 6).alias("metric"), numeric.weir_coefficient(3.0, F.lit("cfs")).alias("us"))
+    return weir_units_whole(spark, d).where("node_id < 5")
+
+
+@query()
+def weir_units_whole(spark, d):
+    return fx.nodes(spark, d).select("node_id", F.round(numeric.weir_coefficient(3.0, F.lit("LPS")), 6).alias("metric"), numeric.weir_coefficient(3.0, F.lit("cfs")).alias("us"))
 
 
 @query("SELECT node_id, format('{:g}', x / 7) AS a, format('{:g}', contributing_area * 1000) AS b, CASE WHEN node_id % 2 = 0 THEN 'YES' ELSE 'NO' END AS f, sha256(CAST(node_id AS VARCHAR) || ',' || CAST(node_id + 1 AS VARCHAR)) AS h FROM fx_nodes")
