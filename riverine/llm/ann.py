@@ -1,26 +1,32 @@
 """Approximate nearest neighbours by largest inner product: robust-pruned directed graphs.
 
-Vectors are dealt to shards by their hash.  In each shard a directed graph is
-grown: a greedy beam search from the entry proposes neighbours for a batch of
+Vectors are dealt to shards by their norm, in bands of 9 %, and within a band
+by their hash: among vectors of nearly one length, the largest inner product
+is close to the nearest direction, which a graph can follow.  In each shard a
+directed graph is grown: a greedy beam search from the entry proposes neighbours for a batch of
 new points, and relaxed pruning keeps a candidate only if no kept one is more
 than `alpha` times nearer to it, so that edges point in diverse directions;
 edges back are pruned the same way when a point has too many.  A query's beam
 search visits every shard, and the shards' best are merged.
 
 Inner product becomes a distance by one more coordinate that gives all vectors
-of a shard the same norm.  Final scores are exact: double-precision inner
-products of the original vectors.
+of a shard the same norm; a shard is scaled by its greatest component first, so
+that values of any size can be compared in single precision.  Final scores are
+exact: double-precision inner products of the original vectors.  Shards of no
+more points than the beam is wide are seen whole.
 
 Equal vectors are one point with its k + 1 smallest ids, collapsed before the
 shuffle, so a vector that a third of the rows share costs a task a few ids.
-The number of shards follows the table (shard_rows), hence a task's memory is
-bounded; queries come in blocks.
+The number of shards follows the table (shard_rows, shard_bytes), hence a task's
+memory is bounded; queries come in blocks as large as a shard, so that graphs
+are copied no more often than queries.
 
 Cases: null ids, vectors that are null, empty, zero or hold null or
 non-finite components take no part, neither as queries nor as candidates;
 vectors of another length are never compared; rows that repeat an id with the
 same vector count once; ties go to the smaller id; an empty table gives no
-rows; fewer than k candidates are all returned.
+rows; fewer than k candidates are all returned.  Products beyond the range of
+doubles are infinite scores, as the measure says, and then tie.
 """
 
 from __future__ import annotations
@@ -39,10 +45,7 @@ class Graph:
     def __init__(self, vectors: np.ndarray, degree=32, beam=64, alpha=1.2, batch=256, seed=7):
         """vectors: different ones, doubles."""
         self.vectors, self.degree, self.beam, self.alpha = vectors, degree, beam, alpha
-        norms = (vectors**2).sum(1)
-        self.top = float(norms.max())
-        more = np.sqrt(np.maximum(self.top - norms, 0))
-        self.points = np.concatenate([vectors, more[:, None]], 1).astype(np.float32)
+        self._scale()
         n = len(vectors)
         self.count = np.zeros(n, np.int32)
         self.near = np.zeros((n, 2 * degree), np.int32)
@@ -58,6 +61,13 @@ class Graph:
             else:
                 self._insert(order[at : at + batch])
 
+    def _scale(self) -> None:
+        """points: the vectors, scaled, with one more coordinate that gives all the same norm, whose square is top."""
+        scaled = self.vectors / np.abs(self.vectors).max()
+        norms = (scaled**2).sum(1)
+        self.top = float(norms.max())
+        self.points = np.concatenate([scaled, np.sqrt(np.maximum(self.top - norms, 0))[:, None]], 1).astype(np.float32)
+
     def _insert(self, new: np.ndarray) -> None:
         if not len(new):
             return
@@ -164,33 +174,73 @@ class Graph:
         x, g = np.load(io.BytesIO(data)), cls.__new__(cls)
         g.vectors, g.near, g.count, g.entry = x["vectors"], x["near"], x["count"], int(x["entry"])
         g.degree, g.beam, g.alpha = int(x["how"][0]), int(x["how"][1]), float(x["alpha"])
-        norms = (g.vectors**2).sum(1)
-        g.top = float(norms.max())
-        g.points = np.concatenate([g.vectors, np.sqrt(np.maximum(g.top - norms, 0))[:, None]], 1).astype(np.float32)
+        g._scale()
         return g
 
+    def answers(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """Points (-1 behind them) that the beam of each query (original scale) holds at last."""
+        if len(self.points) <= beam:
+            return np.broadcast_to(np.arange(len(self.points)), (len(queries), len(self.points)))
+        scaled = queries / np.abs(queries).max(1, keepdims=True)
+        return self.search(np.concatenate([scaled, np.zeros((len(queries), 1))], 1).astype(np.float32), beam)[0]
+
+
+#: Bands of norms to a power of two.
+BANDS = 8
+
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, dim) of the rows that take part."""
+    """(vec_id, v, dim, band) of the rows that take part; the band is that of the norm."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine).withColumn("dim", F.size("v"))
+    out = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
+    most = F.array_max(F.transform("v", F.abs))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))
+    out = out.withColumn("most", most).withColumn("band", F.floor((F.log2("most") + F.log2(squares) / 2) * BANDS).cast("int"))
+    return out.select("vec_id", "v", F.size("v").alias("dim"), "band")
+
 
+def dealt(rows: DataFrame, shard_rows: int, shard_bytes: int, least_shards: int, beam: int) -> list[tuple[int, int, int, int]]:
+    """(dim, band, first shard, shards) of every band.  Bands that together have no more rows than the beam is wide share a shard.
 
-def build(rows: DataFrame, k: int, shards: int, **kinds) -> DataFrame:
-    """(dim, shard, graph binary, ids array<array<bigint>>) of usable rows."""
+    Only a count per dimension and band reaches the driver.
+    """
+    by: dict[int, list] = {}
+    for r in rows.groupBy("dim", "band").count().collect():
+        by.setdefault(r["dim"], []).append((r["band"], r["count"]))
+    out = []
+    for dim, found in by.items():
+        most = max(1, min(shard_rows, shard_bytes // (8 * dim), -(-sum(n for _, n in found) // least_shards)))
+        first, held = -1, beam + 1
+        for band, n in sorted(found):
+            if held + n <= beam:
+                held += n
+                out.append((dim, band, first, 1))
+                continue
+            first = out[-1][2] + out[-1][3] if out and out[-1][0] == dim else 0
+            out.append((dim, band, first, -(-n // most)))
+            held = n if n <= beam else beam + 1
+    return out
+
+
+def build(rows: DataFrame, k: int, plan: list[tuple[int, int, int, int]], **kinds) -> DataFrame:
+    """(dim, shard, graph binary, ids array<array<bigint>>) of usable rows, dealt by a plan."""
     import pyarrow as pa
 
     def collapse(batches):
         for batch in batches:
             found: dict[tuple, set] = {}
-            for i, v, d in zip(batch.column("vec_id").to_pylist(), batch.column("v"), batch.column("dim").to_pylist(), strict=True):
-                key = (d, v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0)
-                found.setdefault((d, key[1].tobytes()), set()).add(i)
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([d for d, _ in found], pa.int32()), "raw": pa.array([r for _, r in found], pa.binary()), "ids": pa.array([sorted(x)[: k + 1] for x in found.values()], pa.list_(pa.int64()))})
+            for i, v, d, b in zip(batch.column("vec_id").to_pylist(), batch.column("v"), batch.column("dim").to_pylist(), batch.column("band").to_pylist(), strict=True):
+                raw = (v.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0).tobytes()
+                found.setdefault((d, b, raw), set()).add(i)
+            yield pa.RecordBatch.from_pydict({
+                "dim": pa.array([x[0] for x in found], pa.int32()), "band": pa.array([x[1] for x in found], pa.int32()), "raw": pa.array([x[2] for x in found], pa.binary()),
+                "ids": pa.array([sorted(x)[: k + 1] for x in found.values()], pa.list_(pa.int64())),
+            })
 
-    each = rows.mapInArrow(collapse, "dim int, raw binary, ids array<bigint>")
-    each = each.withColumn("shard", F.pmod(F.xxhash64("raw"), F.lit(shards)).cast("int"))
+    each = rows.mapInArrow(collapse, "dim int, band int, raw binary, ids array<bigint>")
+    each = each.join(F.broadcast(rows.sparkSession.createDataFrame(plan, "dim int, band int, first int, many int")), ["dim", "band"])
+    each = each.select("dim", (F.col("first") + F.pmod(F.xxhash64("raw"), F.col("many"))).cast("int").alias("shard"), "raw", "ids")
 
     def grow(key, group: pd.DataFrame) -> pd.DataFrame:
         found: dict[bytes, set] = {}
@@ -200,49 +250,66 @@ def build(rows: DataFrame, k: int, shards: int, **kinds) -> DataFrame:
         graph = Graph(np.frombuffer(b"".join(names), "<f8").reshape(len(names), -1), **kinds)
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [graph.dump()], "ids": [[sorted(found[x])[: k + 1] for x in names]]})
 
-    return each.groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, graph binary, ids array<array<bigint>>")
+    return each.repartition(_spread(plan), "dim", "shard").groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, graph binary, ids array<array<bigint>>")
+
 
+def _spread(plan, blocks: int = 1) -> int:
+    """Partitions for groups that each take long: some four to a group, so that few tasks get two."""
+    groups = blocks * len({(d, s) for d, _, first, many in plan for s in range(first, first + many)})
+    return max(1, min(4 * groups, max(groups, 4000)))
 
-def nearest(df: DataFrame, queries: DataFrame, id_col="vec_id", vector_col="embedding", k=20, beam=96, shard_rows=100_000, least_shards=12, block=2048, **kinds) -> DataFrame:
+
+def nearest(df: DataFrame, queries: DataFrame, id_col="vec_id", vector_col="embedding", k=20, beam=96, shard_rows=100_000, shard_bytes=64 << 20, least_shards=12, block: int | None = None, **kinds) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row among all rows of df but its own.
 
     queries: rows of df (same columns); a query's own id is no candidate.
+    block: queries a task; as many as a shard has bytes for, if None.
     """
-    rows, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col).distinct()
-    shards = max(least_shards, -(-rows.count() // shard_rows))
-    graphs = written(build(rows, k, shards, **kinds), "graphs")
+    out = "query_id long, vec_id long, score double"
+    rows, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col).select("vec_id", "v", "dim").distinct()
+    plan = dealt(rows, shard_rows, shard_bytes, least_shards, beam)
+    if not plan:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    graphs = written(build(rows, k, plan, **kinds), "graphs")
     asked = written(asked, "queries")
+    block = block or max(1, shard_bytes // (8 * max(d for d, *_ in plan)))
     blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    totals: dict[int, int] = {}
+    for d, _, first, many in plan:
+        totals[d] = max(totals.get(d, 0), first + many)
+    shards = F.broadcast(df.sparkSession.createDataFrame(list(totals.items()), "dim int, shards int"))
+    asked = asked.join(shards, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    out = "query_id long, vec_id long, score double"
 
     def visit(key, found: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(graph):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         g, ids = Graph.load(graph["graph"].iloc[0]), [x.tolist() for x in graph["ids"].iloc[0]]
         answer: list[tuple] = []
-        step = max(16, min(512, (64 << 20) // len(g.points)))
+        step = max(1, min(512, (64 << 20) // len(g.points), (32 << 20) // (8 * beam * g.points.shape[1])))
         for at in range(0, len(found), step):
             part = found.iloc[at : at + step]
             q = np.stack(part["v"].to_list()).astype(float)
-            near, _ = g.search(np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), beam)
-            score = np.einsum("bcd,bd->bc", g.vectors[near], q)
-            score[near < 0] = -np.inf
-            order = np.argsort(-score, 1, kind="stable")
+            near = g.answers(q, beam)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = np.einsum("bcd,bd->bc", g.vectors[near], q)
+            order = np.argsort(np.where(near < 0, np.nan, -score), 1, kind="stable")  # not a number comes last
             for query, row, values, nodes in zip(part["vec_id"].tolist(), order, score, near, strict=True):
                 best: list[tuple] = []
                 for j in row.tolist():
                     s = float(values[j])
-                    if s == -np.inf or (len(best) >= k and s < best[k - 1][0]):
-                        break
+                    if nodes[j] < 0 or (len(best) >= k and s < best[k - 1][0]):
+                        continue
                     best += [(s, i) for i in ids[nodes[j]] if i != query]
-                    best.sort(key=lambda x: (-x[0], x[1]))
+                    best.sort(key=lambda x: (x[0] != x[0], -x[0], x[1]))
+                    best = best[: k + 1]
                 answer += [(query, i, s) for s, i in best[:k]]
         return pd.DataFrame(answer, columns=["query_id", "vec_id", "score"])
 
-    per_shard = asked.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInPandas(visit, out)
+    on, many = ("dim", "shard", "block"), _spread(plan, blocks)
+    per_shard = asked.repartition(many, *on).groupBy(*on).cogroup(graphs.repartition(many, *on).groupBy(*on)).applyInPandas(visit, out)
     # an id with two different vectors counts by its nearer one
-    one = per_shard.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    number = F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score"))
+    one = per_shard.groupBy("query_id", "vec_id").agg(F.max_by("score", number).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(number), "vec_id")
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
