@@ -10,8 +10,10 @@ characters is rejected beyond its language's greatest usual value plus a
 margin plus slack / sqrt(n), for the mean of a few characters says less.
 
 Cases: null texts and texts without a letter get "und", score 0 and are
-rejected; rows with null language aren't learned from; with nothing to learn
-from, everything is "und"; repeated rows repeat; long texts are read whole.
+rejected; rows with null language aren't learned from, nor texts beyond
+`longest` characters (they are still judged, whole); with nothing to learn
+from, everything is "und"; repeated rows repeat; equal cross-entropies go to
+the first language by name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_texts
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+
+_ALNUM = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters (general category L); re's classes also take fractions and Roman numerals, so such runs are split there."""
+    found = _ALNUM(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
+
+
 #: Most words a task remembers.
 KNOWN = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +132,7 @@ class Identifier:
 
     def fit(self, rows: dict[str, list[str]]) -> Identifier:
         """rows: language -> texts; every fifth text calibrates."""
-        words = {k: [[w.lower() for w in WORDS(x or "")] for x in v] for k, v in sorted(rows.items())}
+        words = {k: [[w.lower() for w in words_of(x or "")] for x in v] for k, v in sorted(rows.items())}
         words = {k: [x for x in v if x] for k, v in words.items()}
         words = {k: v for k, v in words.items() if v}
         learn = {k: [w for i, x in enumerate(v) if i % 5 or len(v) < 5 for w in x] for k, v in words.items()}
@@ -152,7 +165,7 @@ class Identifier:
             return [("und", 0.0, None, True)] * len(found)
         if len(known) > KNOWN:
             known.clear()
-        parts = [WORDS(x.lower()) if x else [] for x in found]
+        parts = [words_of(x.lower()) if x else [] for x in found]
         rows = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in parts]
         if known.new:
             known.nats = np.concatenate([known.nats.reshape(-1, len(self.names)), self.words_nats(known.new)[0]])
@@ -170,18 +183,25 @@ class Identifier:
         return out
 
 
-def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", texts_per_language=400, order=5, **kinds) -> Identifier:
-    """Fit on at most texts_per_language texts of each language, those of the smallest id hash.
+def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", texts_per_language=400, longest=200_000, order=5, **kinds) -> Identifier:
+    """Fit on at most texts_per_language texts of each language, those of the smallest id hash, none beyond longest characters.
 
-    The sample is drawn on ids alone; its ids (at most texts_per_language per
-    language) are broadcast to the scan that fetches the texts.
+    Rows are first counted by language and magnitude of their hash, eight
+    steps to a power of two; that table has a few hundred rows a language and
+    says up to which step a language has enough.  Only the rows up to that
+    step, some 9 % more than asked for, are then ranked, so that a language
+    that most rows have puts no more into a task than a rare one.
     """
     known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    pick = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
-    rows = known.join(F.broadcast(ids.groupBy("doc_id", "lang").agg(F.min("k").alias("k"))), ["doc_id", "lang"]).select("lang", "text", "k").collect()
+    known = known.where(F.length("text") <= longest).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 63) - 1)))
+    known = known.withColumn("step", F.floor(F.log2(F.col("h").cast("double") + 1) * 8).cast("int"))
+    counts = known.groupBy("lang", "step").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
+    enough = counts.withColumn("before", so_far).where(F.col("before") < texts_per_language).groupBy("lang").agg(F.max("step").alias("last"))
+    pick = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    some = known.join(enough, "lang").where("step <= last").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["k"], r["text"])):
+    for r in sorted(some.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
         by.setdefault(r["lang"], []).append(r["text"])
     return Identifier(order, **kinds).fit(by)
 
