@@ -16,6 +16,7 @@ rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -103,9 +104,10 @@ def _byte_letters() -> dict[int, int]:
 class Ids:
     """Texts -> arrays of ids, by a byte-level model of the tokenizers library.
 
-    The text is split by the pattern; the library's model encodes each
-    different piece once.  What is known stays with the Python worker for its
-    next tasks, up to KNOWN pieces.
+    The text is split at the vocabulary's added tokens, which the library
+    always takes for themselves, and between them by the pattern; the
+    library's model encodes each different piece once.  What is known stays
+    with the Python worker for its next tasks, up to KNOWN pieces.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -113,17 +115,27 @@ class Ids:
 
         self.tokenizer, self.split, self.letters = Tokenizer.from_file(path), splitter(pattern), _byte_letters()
         self.model = self.tokenizer.model
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: added tokens that depend on their surroundings")
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else None
         self._clear()
 
     def _clear(self) -> None:
         self.numbers, self.flat, self.begin, self.count = _Numbers(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _pieces(self, text: str) -> list[str]:
+        if not self.at_added or not any(x in text for x in self.added):
+            return self.split(text)
+        return [p for i, part in enumerate(self.at_added(text)) for p in ([part] if i % 2 else self.split(part))]
+
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        tokens, letters = self.model.tokenize, self.letters
-        ids = [[t.id for t in tokens(x.encode("utf-8", "replace").decode("latin-1").translate(letters))] for x in new]
+        tokens, letters, added = self.model.tokenize, self.letters, self.added
+        ids = [[added[x]] if x in added else [t.id for t in tokens(x.encode("utf-8", "replace").decode("latin-1").translate(letters))] for x in new]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
@@ -132,7 +144,7 @@ class Ids:
     def encode(self, found: list[str | None]) -> list[np.ndarray]:
         if len(self.numbers) > KNOWN:
             self._clear()
-        at = [np.fromiter(map(self.numbers.__getitem__, self.split(x)), np.int64) if x else np.zeros(0, np.int64) for x in found]
+        at = [np.fromiter(map(self.numbers.__getitem__, self._pieces(x)), np.int64) if x else np.zeros(0, np.int64) for x in found]
         self._learn()
         out = []
         for pieces in at:
