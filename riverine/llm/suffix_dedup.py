@@ -161,8 +161,12 @@ def _batches(batches, names, most=2_000_000, column="raw"):
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rk, nb, raw): rk and nb name a row by 64 and 32 bits of two hashes of id and text and, in the upper half of nb,
+    by its length, so that different rows have different names."""
     rows = texts(df, id_col, text_col).withColumn("raw", F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    return rows.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rk"), F.octet_length("raw").alias("nb"), "raw")
+    name, second = F.col("doc_id").cast("string"), F.lit("second")
+    nb = F.shiftleft(F.octet_length("raw").cast("long"), 32).bitwiseOR(F.xxhash64(second, name, "text").bitwiseAND(F.lit((1 << 32) - 1)))
+    return rows.select("doc_id", F.xxhash64(name, "text").alias("rk"), nb.alias("nb"), "raw")
 
 
 def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200, k=32, block_bytes=4_000_000, with_text=False) -> DataFrame:
@@ -173,14 +177,14 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
 
     spark = df.sparkSession
     docs = _keyed(df, id_col, text_col)
-    long = docs.where(F.col("nb") >= length)
+    long = docs.where(F.octet_length("raw") >= length)
 
     def cut(batches):
         for rows in _batches(batches, ["rk", "nb", "raw"]):
             text, at, span, key, _, flat, place = contexts([r[2] for r in rows], length, k)
             digest = xxhash.xxh64_intdigest
             c = np.array([digest(flat[a : a + n]) for a, n in zip(at.tolist(), (span + length - 1).tolist(), strict=True)], np.uint64).view(np.int64)
-            rk, nb = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+            rk, nb = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "c": c, "rk": rk[text], "nb": nb[text], "s0": (at - place[text]).astype(np.int32), "span": span.astype(np.int32)})
 
     def keys(batches):
@@ -191,7 +195,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
             yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "m": np.bincount(back, own + 1).astype(np.int32)})
 
     counts = long.select("raw").mapInArrow(keys, "a long, m int")
-    every = long.select("rk", "nb", "raw").mapInArrow(cut, "a long, c long, rk long, nb int, s0 int, span int")
+    every = long.select("rk", "nb", "raw").mapInArrow(cut, "a long, c long, rk long, nb long, s0 int, span int")
     shared = counts.groupBy("a").agg(F.sum("m").alias("m")).where("m > 1").select("a")
     shared = written(every.join(shared, "a"), "contexts")
 
@@ -216,9 +220,12 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
             out.clear()
             return batch
 
+        last = None
         for batch in pieces(batches):
-            for raw, cuts in zip(batch.column("raw"), batch.column("cuts"), strict=True):
-                raw = raw.as_py()
+            for *name, raw, cuts in zip(batch.column("rk").to_pylist(), batch.column("nb").to_pylist(), batch.column("raw"), batch.column("cuts"), strict=True):
+                if name == last:  # the same row again: its strings were taken, with counts that know of all copies
+                    continue
+                last, raw = name, raw.as_py()
                 for x in cuts.as_py():
                     a, c, n, s, e = x["a"], x["c"], x["n"], x["s0"], x["s0"] + x["span"]
                     if not x["heavy"]:
@@ -234,7 +241,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
         if out:
             yield flush()
 
-    blocks = long.select("rk", "nb", "raw").join(wanted, ["rk", "nb"]).select("raw", "cuts").mapInArrow(fetch, block)
+    blocks = long.select("rk", "nb", "raw").join(wanted, ["rk", "nb"]).select("rk", "nb", "raw", "cuts").mapInArrow(fetch, block)
     if has_heavy:
         blocks = written(blocks, "blocks")
 
@@ -266,7 +273,7 @@ def remove_repeats(df: DataFrame, id_col="doc_id", text_col="text", length=200,
         alone = alone.join(twice, ["w1", "w2"]).groupBy("a", "c").agg(F.collect_list("start").alias("starts"))
         flags = flags.unionByName(alone.select("a", "c", F.transform("starts", lambda s: F.struct(s.alias("lo"), s.alias("hi"))).alias("runs")))
 
-    hits = shared.join(flags, ["a", "c"]).groupBy("rk", "nb").agg(F.collect_list(F.struct("s0", "runs")).alias("hits"))
+    hits = shared.join(flags, ["a", "c"]).groupBy("rk", "nb").agg(F.collect_set(F.struct("s0", "runs")).alias("hits"))  # a set: rows that repeat have the same hits
     out = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)])
     kinds = to_arrow_schema(out)
 
