@@ -128,9 +128,11 @@ def parse(data: bytes) -> tuple:
     return number("warc-record-id"), unquote(fields.get("warc-target-uri", "")), kind, number("warc-refers-to"), size, digest, payload if kind == "response" else None
 
 
-def train_dictionary(pages: DataFrame, id_col="page_id", html_col="html", samples=200, size=32_768) -> bytes:
-    """A zstd dictionary of a bounded sample: the pages of the smallest id hash, 4 kB of each. Too few: none."""
-    part = pages.select(F.substring(F.col(html_col), 1, 4096).alias("x"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("x != ''")
+def train_dictionary(pages: DataFrame, id_col="page_id", html_col="html", samples=200, size=32_768, slice_chars=4096) -> bytes:
+    """A zstd dictionary of a bounded sample: a slice of each of the pages with the smallest id hash, begun at a place
+    that the hash says, so that all parts of pages are seen.  Too few: none.  No result depends on it but archive sizes."""
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("x") - slice_chars, F.lit(0)) + 1) + 1
+    part = pages.select(F.col(html_col).alias("x"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("x != ''").select(F.col("x").substr(start.cast("int"), F.lit(slice_chars)).alias("x"), "h")
     found = [r["x"].encode() for r in part.orderBy("h", "x").limit(samples).collect()]
     try:
         return zstandard.train_dictionary(size, found).as_bytes() if len(found) >= 16 else b""
@@ -138,19 +140,28 @@ def train_dictionary(pages: DataFrame, id_col="page_id", html_col="html", sample
         return b""
 
 
-def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", min_bytes=1000, archive_bytes=8 << 20, level=3, dictionary: bytes | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", min_bytes=1000, archive_bytes=8 << 20, level=3, dictionary: bytes | None = None, most_broadcast=200_000) -> DataFrame:
     """(archive string, content binary), each a whole .warc.zst of about archive_bytes of records at most.
 
-    Only (digest, size, page_id) is shuffled to find the response of each
-    payload; its counts are combined before the shuffle, so that thousands of
-    equal payloads meet as one row per task.
+    (digest, page_id) is shuffled to find the response of each payload that
+    occurs more than once, combined before the shuffle, so that thousands of
+    equal payloads meet as one row per task.  Those responses are counted: up
+    to most_broadcast of them (20 bytes of digest and an id each) are
+    broadcast, and no html moves; beyond, pages are joined with them by digest,
+    which shuffles the html of all pages of at least min_bytes.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html").cast("long"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8")))).withColumn("size", F.octet_length("html").cast("long"))
     if dictionary is None:
         dictionary = train_dictionary(pages, id_col, html_col)
     first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")))
+    first = written(first, "responses")
+    if first.count() <= most_broadcast:
+        rows = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        large = F.col("size") >= min_bytes
+        rows = rows.where(large).join(first, "digest", "left").unionByName(rows.where(~large).withColumn("first", F.lit(None).cast("long")))
+    rows = rows.withColumn("refers_to", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")))
     rows = rows.select("page_id", "url", "digest", "size", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
 
     def run(batches):
@@ -161,7 +172,7 @@ def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="
         for batch in pieces(batches):
             for r in zip(*(batch.column(x).to_pylist() for x in ("page_id", "url", "digest", "size", "refers_to", "html")), strict=True):
                 page_id, url, digest, size, refers_to, html = r
-                held.append(record(page_id, url or "", "response" if html is not None else "revisit", refers_to, size, digest, (html or "").encode()))
+                held.append(record(page_id, url or "", "response" if html is not None else "revisit", refers_to, size, digest.hex(), (html or "").encode()))
                 weight += len(held[-1])
                 if weight >= archive_bytes:
                     yield pa.RecordBatch.from_pydict({"archive": [f"part-{part:05d}-{number:05d}.warc.zst"], "content": [archive(held, dictionary, level)]})
