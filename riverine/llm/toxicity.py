@@ -6,13 +6,15 @@ document with 1 - prod(1 - p_i) (noisy-or).  Only document labels are used for t
 probabilities tell where the offence is.
 
 Training takes a bounded sample (max_docs labelled rows, half of each label as
-far as there are, those of the smallest id hash; equal texts count once); its
+far as there are, those of the smallest id hash and of at most `longest`
+characters; equal texts count once, those with both labels not at all); its
 vocabulary is the features of at least min_share of these texts, and shrinking
 (soft thresholds) leaves a small dict of weights.
 
 Cases: null and empty texts have no sentence: score 0, no offending sentence;
-null labels aren't learned from; without both labels all scores are 0;
-repeated rows repeat; texts are read whole.
+rows with a null label aren't learned from, nor are ids with both labels;
+without both labels (an empty table too) all scores are 0; repeated rows
+repeat; every text is scored whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -73,7 +75,12 @@ class NoisyOr:
             return self
         ids: dict[str, int] = {}
         words, size, n_sent, y = [], [], [], []
-        for text, label in dict(zip(reversed(found), reversed(labels), strict=True)).items():  # equal texts: the first label
+        by_text: dict[str, set] = {}
+        for text, label in zip(found, labels, strict=True):
+            by_text.setdefault(text, set()).add(label)
+        for text, (label, *both) in by_text.items():
+            if both:
+                continue
             if sentences := [set(x) for _, x in bags(text)]:
                 words.append(np.fromiter((ids.setdefault(w, len(ids)) for x in sentences for w in sorted(x)), np.int32))
                 size += map(len, sentences)
@@ -144,17 +151,18 @@ class NoisyOr:
         return float(score), best, None if best is None else best_p, bad
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000, **kinds) -> NoisyOr:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000, longest=200_000, **kinds) -> NoisyOr:
     """Fit on at most max_docs of docs (the rows that may be learned from) that labels has a label for.
 
     The sample is drawn on ids alone, so no text is shuffled; its ids (at most
     max_docs rows) are then broadcast to the scan that fetches the texts.
     """
-    ids = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    rows = ids.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct(), "id").withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    ids = docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("id")).distinct()
+    one_label = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"), F.max(F.col(label_col).cast("int")).alias("other")).where("y = other").drop("other")
+    rows = ids.join(one_label, "id").withColumn("h", F.xxhash64(F.col("id").cast("string")))
     one = [rows.where(F.col("y") == y).orderBy("h", "id").limit(max_docs // 2) for y in (0, 1)]
     sample = one[0].unionByName(one[1])
-    fetched = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where("text is not null").limit(2 * max_docs)
+    fetched = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") <= longest).limit(2 * max_docs)
     found = sorted((r["h"], str(r["id"]), r["text"], r["y"]) for r in fetched.collect())
     return NoisyOr().fit([x[2] for x in found], [x[3] for x in found], **kinds)
 
