@@ -15,11 +15,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where the session has none (tests, local mode) a local one is made
-    and set, since driver and executors are then the same machine.
+    Only under a local master (tests), where driver and executors are the same
+    machine, a folder is made and set where the session names none; on a
+    cluster that raises RuntimeError.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="riverine-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -57,15 +60,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Spark's own number of rows in an Arrow batch, and the one used for texts.
-_ROWS, _TEXT_ROWS = "10000", "2000"
+_ROWS, _TEXT_ROWS = "10000", "1000"
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just (doc_id, text), under those names.
 
     Where the session leaves the rows of an Arrow batch at Spark's default,
-    they are lowered: 10,000 long texts on both sides of the pipe, a few times
-    over, are what an executor's memory goes into.
+    they are lowered for the session: 10,000 long texts on both sides of the
+    pipe, a few times over, are what an executor's memory goes into.  Spark
+    reads the setting when the plan runs, so it can't be put back here.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == _ROWS:

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import ann, bpe, langid, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
-#: For the demonstration queries; a deployment passes its own secret.
+#: For the demonstration queries where the session sets no key of its own.
 PII_KEY = b"riverine demonstration key"
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of the session's spark.riverine.pii.key; without it the demonstration key, which protects nothing."""
+    own = spark.conf.get("spark.riverine.pii.key", None)
+    return own.encode() if own else PII_KEY
+
+
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -33,7 +39,7 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,8 +137,7 @@ def test_bpe_round_trip(docs):
 
 def test_packing_ids_are_the_library_s():
     tk = Tokenizer.from_file(JSON)
-    tk.encode_special_tokens = True
-    found = hard_texts()
+    found = [*hard_texts(), "hello <|endoftext|> world", "<|endoftext|><|endoftext|>  x", " <|endoftext|\n<|endoftext|>\n\n y", "<|endoftext|>'s"]
     for text, ids in zip(found, packing.Ids(JSON, PATTERN).encode(found), strict=True):
         assert ids.tolist() == tk.encode(text, add_special_tokens=False).ids
 
@@ -147,8 +146,8 @@ def test_packing_ids_are_the_library_s():
 
 
 def check_packed(rows, found):
+    """Rows of pack() against the library's ids of each whole text."""
     tk = Tokenizer.from_file(JSON)
-    tk.encode_special_tokens = True
     want = Counter()
     for doc, text in found:
         ids = tk.encode(text or "", add_special_tokens=False).ids + [0]
@@ -176,6 +175,8 @@ def test_packing(docs, odd):
     waste = check_packed(packing.pack(docs.repartition(5), JSON, PATTERN).collect(), found)
     assert waste < 0.02 * sum(len(t) for _, t in found) / 4 + 1024
     check_packed(packing.pack(odd, JSON, PATTERN).collect(), [(i, t) for i, t, _ in ODD])
+    special = docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" <|endoftext|>"), "text"))
+    check_packed(packing.pack(special, JSON, PATTERN).collect(), [(r["doc_id"], r["text"]) for r in special.collect()])
     assert packing.pack(empty(docs), JSON, PATTERN).count() == 0
 
 
@@ -201,8 +202,9 @@ def slow_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
-def slow_components(ids, fps):
-    root = {i: i for i in range(len(fps))}
+def slow_roots(fps):
+    """The least member of each one's component."""
+    root = list(range(len(fps)))
     changed = True
     while changed:
         changed = False
@@ -210,15 +212,17 @@ def slow_components(ids, fps):
             for b in range(a):
                 if (fps[a] ^ fps[b]).bit_count() <= 3 and root[a] != root[b]:
                     old, new = max(root[a], root[b]), min(root[a], root[b])
-                    for k, v in root.items():
-                        if v == old:
-                            root[k] = new
+                    root = [new if r == old else r for r in root]
                     changed = True
-    least = {}
-    for i, r in root.items():
+    return root
+
+
+def slow_components(ids, fps):
+    root, least = slow_roots(fps), {}
+    for i, r in enumerate(root):
         if ids[i] is not None:
             least[r] = min(least.get(r, ids[i]), ids[i])
-    return [least.get(root[i]) for i in range(len(fps))]
+    return [least.get(r) for r in root]
 
 
 @pytest.mark.parametrize("longest", [4096, 2])
@@ -275,6 +279,15 @@ def test_components(spark):
 # suffix-array removal
 
 
+def test_rows_that_repeat_with_null_ids(spark):
+    """Thousands of equal rows share one list of hits; all copies lose the repeated bytes."""
+    rng = random.Random(12)
+    text = " ".join(str(rng.random()) for _ in range(60))
+    rows = [(None, text)] * 300 + [(None, None)] * 50 + [(1, "own " + text[:150])]
+    got = Counter(tuple(r)[:4] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == {(None, len(text), len(text), 1): 300, (None, 0, 0, 0): 50, (1, 154, 0, 0): 1}
+
+
 def slow_starts(strings, weights, length):
     n = Counter()
     for s, w in zip(strings, weights, strict=True):
@@ -360,6 +373,60 @@ def test_dates_are_a_permutation():
     assert len({p.date(d) for d in days}) == 800 and all(p.date(p.date(d), True) == d for d in days)
 
 
+class SlowFeistel:
+    """The permutation from its definition: all rounds written out on bit strings, walked into the range."""
+
+    def __init__(self, key):
+        self.key = hashlib.sha256(b"riverine-pii" + key).digest()
+
+    def permute(self, tweak, x, n, back=False):
+        assert not back
+        if n < 2:
+            return x
+        half = -(-len(f"{n - 1:b}") // 2)
+        while True:
+            bits = f"{x:b}".zfill(2 * half)
+            a, b = bits[:half], bits[half:]
+            for i in range(8):
+                value, block, part = int(b, 2), b"", 0
+                while 8 * len(block) < half:
+                    at = value.to_bytes(max(1, -(-half // 8)), "big")
+                    block += hashlib.blake2b(f"{tweak}/{n}".encode() + bytes([0, i, part]) + at, key=self.key).digest()
+                    part += 1
+                mixed = f"{int.from_bytes(block, 'big'):b}".zfill(half)[-half:]
+                a, b = b, "".join("01"[p != q] for p, q in zip(a, mixed, strict=True))
+            x = int(a + b, 2)
+            if x < n:
+                return x
+
+
+def slow_pseudonyms(text, key):
+    """Kind after kind tried at every place of the text, the first that fits and is valid replaced."""
+    p = pii.Pseudonyms(key)
+    p.feistel = SlowFeistel(key)
+    if text is None:
+        return None
+    out, at = "", 0
+    while at < len(text):
+        m = pii.PATTERN.match(text, at)
+        if not m:
+            out, at = out + text[at], at + 1
+            continue
+        value = m[m.lastgroup]
+        new = getattr(p, m.lastgroup)(value)
+        if new is None and m.lastgroup == "phone":
+            new = p.card(value)
+        out += text[at : m.start(m.lastgroup)] + (value if new is None else new)
+        at = m.end()
+    return out
+
+
+def test_pseudonyms_against_brute_force(docs, odd):
+    for df in (docs.where("text rlike '[0-9@]'").limit(60), odd.withColumn("text", F.substring("text", 1, 3000))):
+        want = Counter((r["doc_id"], slow_pseudonyms(r["text"], b"key")) for r in df.collect())
+        assert Counter((r["doc_id"], r["text"]) for r in pii.pseudonymise(df, b"key").collect()) == want
+
+
 def test_private_data_go(docs):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     mail = re.compile(r"[a-z]+\.\d+@mail\d\.example\.com")
@@ -376,15 +443,26 @@ def test_warc_round_trip(spark):
     big = "<p>" + "copied page " * 200
     pages = [(1, "http://a/ä b", big), (5, "http://b", big), (3, None, big), (4, "http://c", "short"), (6, "http://d", "short"), (7, "http://e", None), (8, "http://f", ""), (None, "http://g", "<i>" + "x" * 2000), (9, "http://h", "é" * 600)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
-    assert {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.warc_roundtrip(df).collect()} == {
+    want = {
         1: ("revisit", 5, len(big)), 3: ("revisit", 5, len(big)), 5: ("response", None, len(big)), 4: ("response", None, 5), 6: ("response", None, 5), 7: ("response", None, 0), 8: ("response", None, 0),
         None: ("response", None, 2003), 9: ("response", None, 1200),
     }
+    for most in (200_000, 0):  # responses broadcast or joined
+        assert {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.warc_roundtrip(df, most_broadcast=most).collect()} == want
     back = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(df)).collect()}
     assert bytes(back[5]["payload"]).decode() == big and back[1]["payload"] is None and back[1]["url"] == "http://a/ä b"
     assert warc.warc_roundtrip(empty(df)).count() == 0
 
 
+def test_warc_odd_pages(spark):
+    """Repeated page ids, null urls, a very long page."""
+    same, long = "<p>" + "again " * 300, "<i>" + "long page " * 600_000
+    rows = [(1, None, same), (1, None, same), (2, "http://x", same), (2, None, same), (3, "http://y", long), (4, "", long), (5, "http://z", "other " * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.warc_roundtrip(df).collect())
+    assert got == {(1, "revisit", 2, len(same)): 2, (2, "response", None, len(same)): 2, (3, "revisit", 4, len(long)): 1, (4, "response", None, len(long)): 1, (5, "response", None, 1800): 1}
+
+
 def test_warc_files_and_dictionary(spark, tmp_path):
     texts = [f"<html><body>page {i} of a site with much in common, number {i * 7}</body></html>" * 5 for i in range(60)]
     pages = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
@@ -419,13 +497,116 @@ def test_languages_held_out(spark):
     assert sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
 
 
-def test_kneser_ney_sums_to_one():
-    m = langid.Model(["abba", "abc", "cab", "bab"] * 3, 3, 5)
-    for context in ("", "a", "ab", "zz"):
-        pad = (" " * 3 + context)[-2:]
-        windows = np.array([[ord(c) for c in pad + last] for last in "abc "], np.uint32)
-        p = np.exp(-m.nats(langid._hashes(windows), langid._context_hashes(windows)))
-        assert 0.79 < p.sum() <= 1.0001
+class SlowKneserNey:
+    """Interpolated Kneser-Ney straight from its definition, over dicts of strings."""
+
+    def __init__(self, words, order, letters):
+        self.order, self.letters, pad = order, letters, " " * (order - 1)
+        self.counts = {n: Counter() for n in range(1, order + 1)}
+        for w in words:
+            text = pad + w + " "
+            for i in range(order - 1, len(text)):
+                self.counts[order][text[i - order + 1 : i + 1]] += 1
+        for n in range(order - 1, 0, -1):  # lower orders count the different characters before
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.cut = {}
+        for n, c in self.counts.items():
+            ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+            self.cut[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+        self.after: dict = {}
+        for n, c in self.counts.items():
+            for g, v in c.items():
+                self.after.setdefault((n, g[:-1]), []).append(v)
+
+    def p(self, context, char, n=None):
+        n = self.order if n is None else n
+        if n == 0:
+            return 1 / self.letters
+        context = context[len(context) - n + 1 :]
+        after = self.after.get((n, context))
+        lower = self.p(context, char, n - 1)
+        if not after:
+            return lower
+        return (max(self.counts[n][context + char] - self.cut[n], 0) + self.cut[n] * len(after) * lower) / sum(after)
+
+    def nats(self, words):
+        total, pad = 0.0, " " * (self.order - 1)
+        for w in words:
+            text = pad + w + " "
+            total -= sum(math.log(self.p(text[i - self.order + 1 : i], text[i])) for i in range(self.order - 1, len(text)))
+        return total
+
+
+def test_kneser_ney_is_the_definition():
+    words = ["abba", "abc", "cab", "bab", "a", "cc"] * 3 + ["bca"]
+    for order in (2, 3, 5):
+        m, slow = langid.Model(words, order, 5), SlowKneserNey(words, order, 5)
+        for context in ("", "a", "ab", "zz", "cab"):
+            pad = (" " * 5 + context)[-order + 1 :]
+            windows = np.array([[ord(c) for c in pad + last] for last in "abc z"], np.uint32)
+            p = np.exp(-m.nats(langid._hashes(windows), langid._context_hashes(windows)))
+            assert p == pytest.approx([slow.p(pad, c) for c in "abc z"], rel=1e-5)
+            assert p.sum() == pytest.approx(1, rel=1e-5)
+
+
+def slow_language(rows, found, order=3):
+    """(language, cross-entropy, rejected) of each text by slow models of the rows (language -> texts, every fifth left out)."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (t or "").lower()))
+    chars = lambda w: sum(map(len, w)) + len(w)
+    words = {k: [x for x in map(letters, v) if x] for k, v in sorted(rows.items())}
+    learn = {k: [w for i, x in enumerate(v) if i % 5 or len(v) < 5 for w in x] for k, v in words.items()}
+    size = len({c for v in learn.values() for w in v for c in w}) + 2
+    models = {k: SlowKneserNey(v, order, size) for k, v in learn.items()}
+    usual = {k: max(models[k].nats(x) / chars(x) for i, x in enumerate(v) if not i % 5 or len(v) < 5) for k, v in words.items()}
+    out = []
+    for t in found:
+        if not (w := letters(t)):
+            out.append(("und", None, True))
+            continue
+        nats, lang = min((m.nats(w) / chars(w), k) for k, m in models.items())
+        out.append((lang, nats, nats > usual[lang] + 0.75 + 6 / chars(w) ** 0.5))
+    return out
+
+
+def test_languages_against_brute_force(spark, docs):
+    rows: dict = {}
+    for r in docs.orderBy("doc_id").collect():
+        if len(rows.setdefault(r["lang"], [])) < 6:
+            rows[r["lang"]].append(r["text"][:150])
+    rows = {k: v for k, v in rows.items() if k}
+    model = langid.Identifier(order=3).fit(rows)
+    found = [t for v in rows.values() for t in v] + [None, "", "½ ² Ⅷ ①", "12 %", "x½y", "ÉÀ"]
+    got = model.judge(found, langid.Known())
+    for (lang, score, cross, out), (want, nats, far) in zip(got, slow_language(rows, found), strict=True):
+        assert lang == want and out == far and (cross == pytest.approx(nats, rel=1e-4) if nats else cross is None and score == 0)
+
+
+def test_language_samples_the_smallest_hashes(spark):
+    """The draw by magnitude is that of a sort by hash, for a language that nearly all rows have too; ties of text by name."""
+    rows = [(i, f"word{'abc'[i % 3]} number {i}", "aa" if i % 50 else "bb") for i in range(3000)] + [(5, "same id", "aa"), (None, "no id", "aa"), (7000, None, "aa"), (7001, "x " * 200_001, "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+
+    class Spy(langid.Identifier):
+        def fit(self, found):
+            seen.update(found)
+            return super().fit(found)
+
+    real, langid.Identifier = langid.Identifier, Spy
+    try:
+        langid.fit_languages(df, texts_per_language=40)
+    finally:
+        langid.Identifier = real
+    h = {r["doc_id"]: r["h"] & (1 << 63) - 1 for r in df.where("doc_id is not null").selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h").collect()}
+    for lang in ("aa", "bb"):
+        fit = sorted((h[i], i, t) for i, t, g in rows if g == lang and i is not None and t is not None and len(t) <= 200_000)
+        assert seen[lang] == [t for _, _, t in fit[:40]]
+
+
+def test_equal_languages_tie_by_name(docs):
+    text = [r["text"] for r in docs.limit(5).collect()]
+    got = langid.Identifier().fit({"zz": text, "aa": text}).judge(text, langid.Known())
+    assert {x[0] for x in got} == {"aa"} and all(x[1] == pytest.approx(0.5) for x in got)
 
 
 def test_rejection(docs):
@@ -474,6 +655,42 @@ def test_toxicity_finds_the_sentence(spark, odd):
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows) and {r["score"] for r in rows if r["doc_id"] in (1, 2)} == {0.0}
 
 
+def slow_toxicity(m, text):
+    """Noisy-or over sentences from the weights, straight from its definition."""
+    none, ps = 1.0, {}
+    for i, x in enumerate(re.split(r"[.!?\n]+", (text or "").lower())):
+        if w := set(re.findall(r"\w+", x)):
+            z = m.bias + sum(m.weights.get(f, 0.0) for word in w for f in (word, word[:4] + "*", word[:5] + "*"))
+            ps[i] = 1 / (1 + math.exp(-z))
+            none *= 1 - ps[i]
+    if not ps:
+        return 0.0, None, []
+    odds = max((1 - none) / none if none else math.inf, 1e-12)
+    return 1 / (1 + math.exp(-m.shift) / odds), max(ps, key=lambda i: (ps[i], -i)), [i for i, p in ps.items() if p >= 0.5]
+
+
+def test_toxicity_against_brute_force(spark, docs, odd):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    both = labels.limit(1).withColumn("toxic", 1 - F.col("toxic"))
+    none = labels.limit(3).withColumn("toxic", F.lit(None).cast("int"))
+    train = docs.where(~langid.held_out(docs, "doc_id", 3, 1))
+    m = toxicity.fit_toxicity(train, labels.unionByName(both).unionByName(none))
+    assert m.weights and m.weights == toxicity.fit_toxicity(train.join(both, "doc_id", "left_anti").repartition(7), labels).weights  # an id with both labels isn't learned from
+    for df in (docs, odd):
+        given = [r["text"] for r in df.select("text").collect()]
+        got = [(r["score"], r["worst_sentence"], r["offending"], r["predicted"]) for r in toxicity.score_toxicity(df, m).collect()]
+        for (score, worst, bad, hit), t in zip(got, given, strict=True):
+            want = slow_toxicity(m, t)
+            assert score == pytest.approx(want[0], rel=1e-6, abs=1e-9) and worst == want[1] and bad == want[2] and hit == int(score >= 0.7)
+    assert toxicity.score_toxicity(empty(docs), m).count() == 0
+    assert {r["score"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(empty(docs), labels)).collect()} == {0.0}
+
+
+def test_toxicity_skips_texts_with_both_labels():
+    m = toxicity.NoisyOr().fit(["bad words here"] * 4 + ["good words here"] * 4 + ["odd words here", "odd words here"], [1] * 4 + [0] * 4 + [0, 1], min_share=0)
+    assert not any(k.startswith("odd") for k in m.weights)
+
+
 # nearest neighbours
 
 
@@ -498,6 +715,43 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.nearest(empty(df), empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["natural", "lognormal"])
+def test_neighbours_of_uneven_norms(spark, spread):
+    """Recall where norms vary, as floats, in shards of thousands."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(12_000, 48)).astype("f4")
+    if spread == "lognormal":
+        v *= rng.lognormal(0, 0.7, (len(v), 1)).astype("f4")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 80 = 0"), least_shards=1).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = v[::80].astype(float) @ v.astype(float).T
+    want = [set([i for i in np.argsort(-row)[:21].tolist() if i != 80 * q][:20]) for q, row in enumerate(s)]
+    assert sum(len(want[q] & got[80 * q]) for q in range(len(want))) / (20 * len(want)) >= 0.9
+
+
+def test_neighbours_of_very_large_and_small_values(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(500, 8))
+    size = {0: 1e150, 1: 1.0, 2: 1e-150, 3: 1e200}
+    rows = [(i, (x * size[i % 4]).tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 1"), least_shards=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    with np.errstate(over="ignore"):
+        whole = np.array([x for _, x in rows])
+        for q, found in got.items():
+            s = whole @ whole[q]
+            best = [i for i in np.lexsort((np.arange(len(s)), -s)).tolist() if i != q][:20]
+            assert len(found) == 20 and len(set(best) & {i for i, _ in found}) >= 18
+    assert len(got) == 25
+    same = spark.createDataFrame([(i, (x * 1e200).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    counts = ann.nearest(same, same.where("vec_id % 20 = 0")).groupBy("query_id").count().collect()
+    assert len(counts) == 25 and {r["count"] for r in counts} == {20}
+
+
 # odd inputs
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riverine.llm import pii, queries
+from test_corpus import check_packed, slow_fingerprint, slow_language, slow_pseudonyms, slow_roots, slow_starts
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,50 @@ def test_stages(spark, folder):
     assert all(r["n"] == r["m"] for r in total)
 
 
+def slow_pipeline(spark, docs):
+    """[(doc_id, text)] that packing gets, stage by stage by brute force."""
+    rows = [r.asDict() for r in docs.collect()]
+    hashes = {r["doc_id"]: (r["h"] & (1 << 63) - 1, r["fold"]) for r in docs.where("doc_id is not null").selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h", "crc32(cast(doc_id as string)) % 5 as fold").collect()}
+    by: dict = {}
+    for r in sorted((r for r in rows if r["doc_id"] is not None and r["text"] is not None and hashes[r["doc_id"]][1]), key=lambda r: (hashes[r["doc_id"]][0], r["doc_id"], r["text"])):
+        by.setdefault(r["lang"], []).append(r["text"])
+    rows = [r for r, x in zip(rows, slow_language(by, [r["text"] for r in rows], order=5), strict=True) if not x[2]]
+    groups: dict = {}
+    for r, root in zip(rows, slow_roots([slow_fingerprint(r["text"]) for r in rows]), strict=True):
+        groups.setdefault(root, []).append(r)
+    kept = [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+    raws = [r["text"].encode() for r in kept]
+    for r, raw, at in zip(kept, raws, slow_starts(raws, [1] * len(raws), 200), strict=True):
+        gone = {j for i in at for j in range(i, i + 200)}
+        r["text"] = slow_pseudonyms(bytes(b for j, b in enumerate(raw) if j not in gone).decode("utf-8", "ignore"), queries.PII_KEY)
+    return kept
+
+
+def test_run_is_the_brute_force(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    more = [
+        (7, "an unlike text under a number that another document has too: " + " ".join(f"stoning bridger wateren lumly{'er' * (i % 3)}" for i in range(60)), "en"),
+        (None, "without a number " + " ".join(f"gardant riverous lumges {'wating ' * (i % 4)}" for i in range(40)), "en"),
+        (400, "the last words of a copy " + " ".join(f"riving stoner wateren {'ly' * (i % 5)}" for i in range(50)), "en"),
+        (400, "the last words of a copy " + " ".join(f"riving stoner wateren {'ly' * (i % 5)}" for i in range(50)), "en"),
+    ]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, g, "src1", len(t)) for i, t, g in more], docs.schema))
+    docs.withColumn("my.col", F.lit("dotted")).withColumn("key", F.lit(1)).write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    want = slow_pipeline(spark, docs)
+    assert sorted(r["doc_id"] for r in want if r["doc_id"] is not None).count(7) == 2 and any(r["doc_id"] is None for r in want)
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    check_packed(got, [(r["doc_id"], r["text"]) for r in want])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_empty_tables_pass_through(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    docs.where("false").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_run_and_registration(spark, folder):
     import __spark_entry__ as entry
 
