@@ -199,7 +199,8 @@ def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
     so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
     enough = counts.withColumn("before", so_far).where(F.col("before") < texts_per_language).groupBy("lang").agg(F.max("step").alias("last"))
     pick = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    some = known.join(enough, "lang").where("step <= last").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
+    # one row a language, of which the driver holds a model each: broadcast, so that texts beyond the last step are never shuffled
+    some = known.join(F.broadcast(enough), "lang").where("step <= last").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
     by: dict[str, list] = {}
     for r in sorted(some.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
         by.setdefault(r["lang"], []).append(r["text"])
