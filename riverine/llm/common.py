@@ -7,9 +7,9 @@ import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _release() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; its folder goes with it
             return
 
@@ -42,6 +45,12 @@ def _release() -> None:
 atexit.register(_release)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that written() gave and that nothing reads any more."""
+    if path := getattr(df, "_riverine_path", None):
+        _delete(_WRITTEN.pop(path), path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here.
 
@@ -51,14 +60,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riverine/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._riverine_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smallest(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows of the smallest h (a hash, a long) of each value of `by`: all of the first `most`, and some 9 % more.
+
+    Rows are counted by the magnitude of their hash, eight steps to a power of
+    two; that table has a few hundred rows a value, and says up to which step a
+    value has enough.  One row a value is broadcast (languages, labels), no
+    row beyond its step is shuffled, and no task holds the rows of a value.
+    """
+    size = F.col("h").bitwiseAND(F.lit((1 << 63) - 1)).cast("double") + 1
+    rows = rows.withColumn("h_step", F.floor(F.log2(size) * 8).cast("int"))
+    counts = rows.groupBy(by, "h_step").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(by).orderBy("h_step")) - F.col("n")
+    last = counts.withColumn("before", before).where(F.col("before") < most).groupBy(by).agg(F.max("h_step").alias("h_last"))
+    return rows.join(F.broadcast(last), by).where("h_step <= h_last").drop("h_step", "h_last")
+
+
 #: Spark's own number of rows in an Arrow batch, and the one used for texts.
 _ROWS, _TEXT_ROWS = "10000", "1000"
 

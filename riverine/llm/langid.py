@@ -23,7 +23,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_texts
+from .common import map_texts, smallest
 
 
 _ALNUM = re.compile(r"[^\W\d_]+").findall
@@ -184,23 +184,11 @@ class Identifier:
 
 
 def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", texts_per_language=400, longest=200_000, order=5, **kinds) -> Identifier:
-    """Fit on at most texts_per_language texts of each language, those of the smallest id hash, none beyond longest characters.
-
-    Rows are first counted by language and magnitude of their hash, eight
-    steps to a power of two; that table has a few hundred rows a language and
-    says up to which step a language has enough.  Only the rows up to that
-    step, some 9 % more than asked for, are then ranked, so that a language
-    that most rows have puts no more into a task than a rare one.
-    """
+    """Fit on at most texts_per_language texts of each language, those of the smallest id hash, none beyond longest characters."""
     known = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     known = known.where(F.length("text") <= longest).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 63) - 1)))
-    known = known.withColumn("step", F.floor(F.log2(F.col("h").cast("double") + 1) * 8).cast("int"))
-    counts = known.groupBy("lang", "step").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
-    enough = counts.withColumn("before", so_far).where(F.col("before") < texts_per_language).groupBy("lang").agg(F.max("step").alias("last"))
     pick = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    # one row a language, of which the driver holds a model each: broadcast, so that texts beyond the last step are never shuffled
-    some = known.join(F.broadcast(enough), "lang").where("step <= last").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
+    some = smallest(known, "lang", texts_per_language).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= texts_per_language)
     by: dict[str, list] = {}
     for r in sorted(some.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
         by.setdefault(r["lang"], []).append(r["text"])
