@@ -24,7 +24,7 @@ from urllib.parse import quote, unquote
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces, written
+from .common import pieces, smallest, written
 
 MAGIC = 0x184D2A5D
 #: First bytes of each zstd frame.
@@ -130,10 +130,12 @@ def parse(data: bytes) -> tuple:
 
 def train_dictionary(pages: DataFrame, id_col="page_id", html_col="html", samples=200, size=32_768, slice_chars=4096) -> bytes:
     """A zstd dictionary of a bounded sample: a slice of each of the pages with the smallest id hash, begun at a place
-    that the hash says, so that all parts of pages are seen.  Too few: none.  No result depends on it but archive sizes."""
+    that the hash says, so that all parts of pages are seen.  The sample is drawn on ids, so pages without html lessen it; too
+    few: none.  No result depends on it but archive sizes."""
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("x") - slice_chars, F.lit(0)) + 1) + 1
-    part = pages.select(F.col(html_col).alias("x"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("x != ''").select(F.col("x").substr(start.cast("int"), F.lit(slice_chars)).alias("x"), "h")
-    found = [r["x"].encode() for r in part.orderBy("h", "x").limit(samples).collect()]
+    ids = pages.select(F.col(html_col).alias("x"), F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"), F.lit(0).alias("one"))
+    part = smallest(ids, "one", samples).where("x != ''").select(F.col("x").substr(start.cast("int"), F.lit(slice_chars)).alias("x"), "h").limit(4 * samples)
+    found = [r["x"].encode() for r in sorted(part.collect(), key=lambda r: (r["h"], r["x"]))[:samples]]
     try:
         return zstandard.train_dictionary(size, found).as_bytes() if len(found) >= 16 else b""
     except zstandard.ZstdError:
