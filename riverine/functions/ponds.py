@@ -105,7 +105,7 @@ def checks(area: Column, bottom: Column, c: Column, depth: Column, diameter: Col
     activation = volume_below(c, crest) / F.when(total > 0, total)
     hours = total / F.when(diameter > 0, p.orifice_cd * math.pi * diameter * diameter / 4 * F.sqrt(9.81 * depth) * 3600)
     flag = F.when(ratio < 0.20, F.lit("fail")).when(ratio < 0.30, F.lit("warn")).otherwise(F.lit("pass"))
-    return F.struct(ratio.alias("bottom_ratio"), activation.alias("activation"), hours.alias("drawdown_h"), flag.alias("bottom_flag"), (activation < 0.85).alias("activation_flag"), ~hours.between(24, 72).alias("drawdown_flag"))
+    return F.struct(ratio.alias("bottom_ratio"), activation.alias("activation"), hours.alias("drawdown_h"), flag.alias("bottom_flag"), (activation < 0.85).alias("activation_flag"), (~hours.between(24, 72)).alias("drawdown_flag"))
 
 
 def required_orifice(q: Column, head: Column, p: Ponds) -> Column:

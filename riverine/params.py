@@ -81,8 +81,18 @@ class Ponds:
     lake_tags: tuple[str, ...] = ("lake", "reservoir", "lagoon", "oxbow")
     max_snap: float = 200
     min_outfall_head_drop_m: float = 2
+    downstream_search_max_m: float = 750
     sub_reroute_max: float = 500
     capacity_multiplier: float = 2
+    river_front_m: float = 60
+    enclosed_gap_close_m: float = 75
+    inflow_offset_m: float = 0.30
+    orifice_crest_offset_m: float = 0.10
+    closed_basin_sur_depth_m: float = 2
+    open_basin_sur_depth_m: float = 0
+    closed_basin_psi_mm: float = 50
+    closed_basin_ksat_mm_hr: float = 12.5
+    closed_basin_imd: float = 0.3
 
 
 @dataclass(frozen=True)

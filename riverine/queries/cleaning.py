@@ -28,17 +28,32 @@ BENT = """SELECT e.id, e.u, e.v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bw, (a.
 LENGTH = "sqrt((mx - ax) * (mx - ax) + (my - ay) * (my - ay)) + sqrt((mx - bx) * (mx - bx) + (my - bw) * (my - bw))"
 
 
-@query(f"SELECT CASE WHEN u % 3 = 0 AND ({LENGTH}) <= 50 THEN id ELSE id END AS id, round({LENGTH}, 6) AS length FROM bent_", bent_=BENT)
+def detours(spark, d):
+    """The lines and, beside some, another between the same ends whose bend lies elsewhere."""
+    e = lines(spark, d)
+    bend = F.struct(((F.col("ux") + F.col("vx")) / 2 + F.col("u") % 5 * 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2 - F.col("u") % 5 * 2).alias("y"))
+    other = e.where("u % 4 < 2 and id not like '%r'").withColumn("id", F.concat("id", F.lit("x"))).withColumn("geometry", F.array(geo.point("ux", "uy"), bend, geo.point("vx", "vy")))
+    return e.unionByName(other)
+
+
+DETOURS = "SELECT id, u, v, ax, ay, bx, bw, mx, my FROM bent_ UNION ALL SELECT id || 'x', u, v, ax, ay, bx, bw, (ax + bx) / 2 + u % 5 * 2, (ay + bw) / 2 - u % 5 * 2 FROM bent_ WHERE u % 4 < 2"
+
+
+@query(f"SELECT arg_min(id, (-len, id)) AS id, round(max(len), 6) AS length FROM (SELECT *, {LENGTH} AS len FROM detour_) GROUP BY u, v", bent_=BENT, detour_=DETOURS)
 def parallel_keep_longest(spark, d):
-    k = streets.keep_longest(lines(spark, d).select("id", "geometry"))
+    k = streets.keep_longest(detours(spark, d).select("id", "geometry"))
     return k.select("id", F.round(geo.length(F.col("geometry")), 6).alias("length"))
 
 
-@query("SELECT u, v, CAST(count(*) AS BIGINT) AS n_points, round(50::DOUBLE, 3) AS chord FROM fx_edges, range(5) GROUP BY u, v")
+@query(
+    """SELECT u, v, i, round(avg(CASE WHEN want <= l1 THEN ax + want / l1 * (mx - ax) ELSE mx + (want - l1) / l2 * (bx - mx) END), 6) AS x, round(avg(CASE WHEN want <= l1 THEN ay + want / l1 * (my - ay) ELSE my + (want - l1) / l2 * (bw - my) END), 6) AS y
+    FROM (SELECT *, i * (l1 + l2) / 4 AS want FROM (SELECT *, sqrt(pow(mx - ax, 2) + pow(my - ay, 2)) AS l1, sqrt(pow(mx - bx, 2) + pow(my - bw, 2)) AS l2 FROM detour_), (SELECT unnest(range(5)) AS i)) GROUP BY u, v, i""",
+    bent_=BENT,
+    detour_=DETOURS,
+)
 def parallel_mean(spark, d):
-    m = streets.mean_parallel(lines(spark, d).where("id not like '%r'").select("u", "v", "geometry"), 5)
-    a, b = F.element_at("geometry", 1), F.element_at("geometry", -1)
-    return m.select("u", "v", F.size("geometry").cast("long").alias("n_points"), F.round(geo.distance(a["x"], a["y"], b["x"], b["y"]), 3).alias("chord"))
+    m = streets.mean_parallel(detours(spark, d).where("id not like '%r'").select("u", "v", "geometry"), 5)
+    return m.select("u", "v", F.posexplode("geometry").alias("i", "p")).select("u", "v", F.col("i").cast("long").alias("i"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 @query("SELECT node_id, node_id - 1 AS \"into\" FROM fx_nodes WHERE node_id % 10 = 4 AND node_id % 40 > 0 AND node_id - 1 IN (SELECT node_id FROM fx_nodes)")

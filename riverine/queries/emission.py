@@ -38,7 +38,7 @@ def outfall_union(spark, d):
     return emit.sinks(n, typed(spark, d).where("edge_type in ('river', 'pipe')"))
 
 
-@query("SELECT id, round(CASE WHEN edge_type = 'outfall' THEN greatest(l, 5 * diameter, 5) WHEN edge_type = 'street_channel' THEN greatest(l, 1) ELSE greatest(l, diameter, 1) END, 6) AS length FROM (SELECT *, (u % 4)::DOUBLE / 2 AS l FROM typed_)", typed_=TYPED)
+@query("SELECT id, round(CASE WHEN edge_type = 'outfall' THEN greatest(l, 5 * diameter, 5) WHEN edge_type IN ('street_channel', 'river') THEN greatest(l, 1) ELSE greatest(l, diameter, 1) END, 6) AS length FROM (SELECT *, (u % 4)::DOUBLE / 2 AS l FROM typed_)", typed_=TYPED)
 def link_lengths(spark, d):
     return emit.link_lengths(typed(spark, d).withColumn("length", F.col("u") % 4 / 2)).select("id", F.round("length", 6).alias("length"))
 
@@ -120,11 +120,21 @@ def raster_burn(spark, d):
 
 
 
-@query("SELECT row_, col_, 1 AS id FROM fx_dem WHERE row_ BETWEEN 12 AND 14 AND col_ BETWEEN 12 AND 14 AND (SELECT count(*) FROM fx_dem) >= 900")
+RING = "row_ % 9 BETWEEN 1 AND 7 AND col_ % 9 BETWEEN 1 AND 7 AND NOT (row_ % 9 BETWEEN 3 AND 5 AND col_ % 9 BETWEEN 3 AND 5)"
+
+
+@query(
+    "SELECT row_, col_, min(id) AS id FROM back_ WHERE (row_, col_, id) NOT IN (SELECT (row_, col_, id) FROM ring_) GROUP BY row_, col_",
+    ring_=f"SELECT row_, col_, row_ // 9 * 1000 + col_ // 9 AS id FROM fx_dem WHERE {RING}",
+    shift_="SELECT r, c FROM (SELECT unnest(range(-2, 3)) AS r), (SELECT unnest(range(-2, 3)) AS c)",
+    wide_="SELECT DISTINCT row_ + r AS row_, col_ + c AS col_, id FROM ring_, shift_",
+    back_="SELECT row_ + r AS row_, col_ + c AS col_, id FROM wide_, shift_ GROUP BY 1, 2, 3 HAVING count(*) = 25",
+)
 def enclosed_gap(spark, d):
+    """Catchments are rings of cells, one in each square of nine by nine."""
     c = fx.dem(spark, d)
-    ring = c.where("row_ between 10 and 16 and col_ between 10 and 16 and not (row_ between 12 and 14 and col_ between 12 and 14)").select("row_", "col_", F.lit(1).alias("id"))
-    return raster.enclosed(ring, None, 2).join(c.select("row_", "col_"), ["row_", "col_"], "left_semi")
+    ring = c.where(RING).select("row_", "col_", (F.floor(F.col("row_") / 9) * 1000 + F.floor(F.col("col_") / 9)).cast("long").alias("id"))
+    return raster.enclosed(ring, None, 2)
 
 
 @query("SELECT p.pond_id, round(quantile_cont(value, 0.25), 6) AS crest FROM fx_ponds p JOIN fx_dem c ON sqrt(pow(c.col_ * 40 + 20 - x, 2) + pow(c.row_ * 40 + 20 - y, 2)) BETWEEN 50 AND 120 WHERE value IS NOT NULL AND abs(value) > 1e-6::DOUBLE GROUP BY p.pond_id")

@@ -46,22 +46,12 @@ def reach_ancestors(spark, d):
 
 
 @query(
-    """SELECT node, min(hops) AS hops, min(source) FILTER (WHERE hops = least_hops) AS source FROM (SELECT *, min(hops) OVER (PARTITION BY node) AS least_hops FROM (
-        SELECT n.node_id AS node, CAST(abs(n.x - s.x) / 50 + abs(n.y - s.y) / 50 AS INTEGER) AS hops, s.node_id AS source FROM whole_ n, whole_ s WHERE s.node_id % 211 = 5)) GROUP BY node""",
-    whole_="SELECT node_id, x, y FROM fx_nodes WHERE node_id >= 40 AND node_id < 1480 AND node_id < (SELECT max(node_id) / 40 * 40 FROM fx_nodes)",
+    "SELECT node, CAST(hops AS INTEGER) AS hops, source FROM front_",
+    both_="SELECT u, v FROM fx_edges UNION ALL SELECT v, u FROM fx_edges",
+    **{"front_(node, hops, source) USING KEY (node)": """SELECT node_id, 0, node_id FROM fx_nodes WHERE node_id % 211 = 5 UNION
+        SELECT b.v, f.hops + 1, min(f.source) FROM front_ f JOIN both_ b ON b.u = f.node LEFT JOIN recurring.front_ r ON r.node = b.v WHERE r.node IS NULL GROUP BY b.v, f.hops"""},
 )
 def bfs_sink_partition(spark, d):
-    # over whole grid rows, where hops are grid distances, as in the SQL; bfs_sink_partition_whole takes all rows
-    n = fx.nodes(spark, d)
-    last = n.agg((F.max("node_id") / 40 * 40).alias("last"))
-    n = n.crossJoin(F.broadcast(last)).where("node_id >= 40 and node_id < 1480 and node_id < last").select(F.col("node_id").alias("node"))
-    e = fx.edges(spark, d).join(n.withColumnRenamed("node", "u"), "u", "left_semi").join(n.withColumnRenamed("node", "v"), "v", "left_semi")
-    return graph.reach(network.double_directed(e.select("u", "v", "id")), n.where("node % 211 = 5"), backwards=True)
-
-
-@query()
-def bfs_sink_partition_whole(spark, d):
-    """Over all nodes and edges, where hops need not be grid distances."""
     starts = fx.nodes(spark, d).where("node_id % 211 = 5").select(F.col("node_id").alias("node"))
     return graph.reach(network.double_directed(fx.edges(spark, d).select("u", "v", "id")), starts, backwards=True)
 
@@ -90,15 +80,14 @@ def resolve_transitive(spark, d):
 
 
 @query(
-    "SELECT node, round(min(dist), 6) AS dist FROM walk_ GROUP BY node",
+    "SELECT node, round(dist, 6) AS dist FROM walk_",
     sloped_=SLOPED,
-    edge_=f"SELECT u, v, least(greatest(w, 0.01::DOUBLE), 9::DOUBLE) AS w FROM ({WEIGHTED})",
-    root_="SELECT node_id AS node FROM fx_nodes WHERE node_id % 60 = 30",
-    walk_="""SELECT node, 0::DOUBLE AS dist, 0 AS step FROM root_ UNION ALL SELECT u, min(d), step + 1 FROM (
-        SELECT e.u, w.dist + e.w AS d, w.step FROM walk_ w JOIN edge_ e ON e.v = w.node WHERE w.step < 60) GROUP BY u, step""",
+    edge_=f"SELECT u, v, w FROM ({WEIGHTED})",
+    **{"walk_(node, dist) USING KEY (node)": """SELECT node_id, 0::DOUBLE FROM fx_nodes WHERE node_id % 60 = 30 UNION
+        SELECT e.u, min(w.dist + e.w) FROM walk_ w JOIN edge_ e ON e.v = w.node LEFT JOIN recurring.walk_ r ON r.node = e.u GROUP BY e.u, r.dist HAVING r.dist IS NULL OR min(w.dist + e.w) < r.dist"""},
 )
 def shortest_forest_additive(spark, d):
-    e = weighted(sloped(spark, d).withColumn("contributing_area", F.col("v_contributing_area")), LIGHT).withColumn("weight", F.least(F.greatest("weight", F.lit(0.01)), F.lit(9.0)))
+    e = weighted(sloped(spark, d).withColumn("contributing_area", F.col("v_contributing_area")), LIGHT)
     roots = fx.nodes(spark, d).where("node_id % 60 = 30").select(F.col("node_id").alias("node"))
     return graph.shortest_forest(e, roots).select("node", F.round("dist", 6).alias("dist"))
 
@@ -112,14 +101,40 @@ def _light():
 LIGHT = _light()
 
 
-@query()
+BEND = """CASE WHEN t IS NULL THEN 0::DOUBLE WHEN t < 30 THEN 0.3::DOUBLE WHEN t < 135 THEN 0.3::DOUBLE * (0.8::DOUBLE * abs(90 - t) / 60 + 0.2::DOUBLE) ELSE 0.3::DOUBLE * (0.4::DOUBLE * (180 - t) / 90) END"""
+
+
+@query(
+    "SELECT node, round(dist, 6) AS dist, next, root FROM walk_ WHERE done",
+    sloped_=SLOPED,
+    edge_=f"SELECT u, v, min(greatest(w, 0.01::DOUBLE)) AS w FROM ({WEIGHTED}) GROUP BY u, v",
+    # the way from u over v on to w, and the angle there
+    turn_="""SELECT e.u, e.v, f.v AS w, degrees(acos(greatest(-1, least(1, ((a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y)) / (sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) * sqrt(pow(c.x - b.x, 2) + pow(c.y - b.y, 2))))))) AS t
+        FROM edge_ e JOIN edge_ f ON f.u = e.v JOIN fx_nodes a ON a.node_id = e.u JOIN fx_nodes b ON b.node_id = e.v JOIN fx_nodes c ON c.node_id = f.v""",
+    # one node settles at a time: the least label of all that wait
+    **{"walk_(node, dist, next, root, done) USING KEY (node)": f"""SELECT node_id, 0::DOUBLE, CAST(NULL AS BIGINT), node_id, false FROM fx_nodes WHERE node_id % 60 = 30 UNION (
+        WITH pick AS (SELECT * FROM recurring.walk_ WHERE NOT done ORDER BY dist, node LIMIT 1)
+        SELECT node, dist, next, root, true FROM pick UNION ALL
+        SELECT e.u, p.dist + e.w + {BEND}, p.node, p.root, false FROM pick p JOIN edge_ e ON e.v = p.node LEFT JOIN turn_ q ON q.u = e.u AND q.v = e.v AND q.w = p.next LEFT JOIN recurring.walk_ r ON r.node = e.u
+        WHERE r.node IS NULL OR (NOT r.done AND (p.dist + e.w + {BEND} < r.dist OR (p.dist + e.w + {BEND} = r.dist AND (p.node < r.next OR (p.node = r.next AND p.root < r.root))))))"""},
+)
 def shortest_forest_turn(spark, d):
     n = fx.nodes(spark, d)
     e = weighted(sloped(spark, d).withColumn("contributing_area", F.col("v_contributing_area"))).withColumn("weight", F.greatest("weight", F.lit(0.01)))
-    return graph.turn_forest(e.select("u", "v", "weight"), n, n.where("node_id % 60 = 30").select(F.col("node_id").alias("node")), 0.3)
+    f = graph.turn_forest(e.select("u", "v", "weight"), n, n.where("node_id % 60 = 30").select(F.col("node_id").alias("node")), 0.3)
+    return f.select("node", F.round("dist", 6).alias("dist"), "next", "root")
 
 
-@query()
+@query(
+    "SELECT a, b, weight FROM part_ JOIN cost_ ON k = -node - 1 WHERE node < -1 AND part = 1",
+    cost_="""SELECT *, row_number() OVER (ORDER BY weight, a, b) AS k FROM (SELECT u AS a, v AS b, length + surface_elevation AS weight FROM fx_edges JOIN fx_nodes ON node_id = u
+        WHERE highway NOT IN ('corridor', 'track', 'footway', 'path'))""",
+    # edge after edge, from the lightest: node -1 says which is next, -k - 1 whether edge k was taken
+    **{"part_(node, part) USING KEY (node)": """SELECT node_id, node_id FROM fx_nodes UNION ALL SELECT -1, 1 UNION (
+        WITH now AS (SELECT c.k, p.part AS pa, q.part AS pb FROM recurring.part_ z JOIN cost_ c ON c.k = z.part JOIN recurring.part_ p ON p.node = c.a JOIN recurring.part_ q ON q.node = c.b WHERE z.node = -1)
+        SELECT r.node, least(pa, pb) FROM now JOIN recurring.part_ r ON r.node >= 0 AND r.part = greatest(pa, pb) WHERE pa <> pb UNION ALL
+        SELECT -k - 1, CASE WHEN pa <> pb THEN 1 ELSE 0 END FROM now UNION ALL SELECT -1, k + 1 FROM now)"""},
+)
 def mst_outfalls(spark, d):
     n = fx.nodes(spark, d)
     e = network.without_highways(fx.edges(spark, d))

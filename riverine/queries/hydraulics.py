@@ -79,13 +79,8 @@ def channel_geometry(spark, d):
 SLOPE = "CASE WHEN zu - zv > 0 AND (zu - zv) / 5 > 0.05::DOUBLE THEN (zu - zv) / 0.05::DOUBLE ELSE 5 END"
 
 
-@query(f"SELECT u, v, round({SLOPE}, 6) AS length, round(CASE WHEN zu - zv <= 0 THEN zu - 0.001::DOUBLE * 5 ELSE zv END, 6) AS sink_invert FROM (SELECT u, v, a.surface_elevation AS zu, b.surface_elevation AS zv FROM fx_edges JOIN fx_nodes a ON a.node_id = u JOIN fx_nodes b ON b.node_id = v WHERE u % 25 = 3)")
+@query(f"SELECT u, v, round({SLOPE}, 6) AS length, round(CASE WHEN zu - zv <= 0 THEN zu - 0.001::DOUBLE * 5 ELSE zv END, 6) AS sink_invert FROM (SELECT u, v, a.surface_elevation AS zu, b.surface_elevation AS zv FROM fx_edges JOIN fx_nodes a ON a.node_id = u JOIN fx_nodes b ON b.node_id = v)")
 def outfall_slope(spark, d):
-    return outfall_slope_whole(spark, d).where("u % 25 = 3")
-
-
-@query()
-def outfall_slope_whole(spark, d):
     n = fx.nodes(spark, d)
     e = fx.edges(spark, d).join(n.select(F.col("node_id").alias("u"), F.col("surface_elevation").alias("zu")), "u").join(n.select(F.col("node_id").alias("v"), F.col("surface_elevation").alias("zv")), "v")
     return design.outfall_slopes(e.withColumn("length", F.lit(5.0)), Hydraulics()).select("u", "v", F.round("length", 6).alias("length"), F.round("sink_invert", 6).alias("sink_invert"))
@@ -98,11 +93,49 @@ def manhole_drop(spark, d):
     return e.select("u", "v", F.round(design.manhole_drop(F.col("zu") - F.col("zv"), Hydraulics()), 6).alias("out_offset"))
 
 
-@query()
+def _manning(v, r):
+    return f"pow({v} * 0.012::DOUBLE / pow({r}, 2::DOUBLE / 3), 2)"
+
+
+LIMIT = "CASE WHEN d <= 0.6::DOUBLE THEN 0.7::DOUBLE WHEN d <= 1.5::DOUBLE THEN 0.8::DOUBLE ELSE 0.85::DOUBLE END"
+LOAD = "(d * d / 8 * ({t} - sin({t}))) * pow(d / 4 * (1 - sin({t}) / {t}), 2::DOUBLE / 3) * sqrt(s) / 0.012::DOUBLE"
+HALF = "((a.lo + a.hi) / 2)"
+#: The central angle of the water in a pipe: full beyond the peak, else by 60 halvings.
+ANGLE = f"CASE WHEN q <= 0 OR s <= 0 THEN 0 WHEN q >= {LOAD.format(t='5.3784::DOUBLE')} THEN 2 * pi() ELSE list_transform([list_reduce(list_transform(range(60), lambda i: {{'lo': 1e-9::DOUBLE, 'hi': 5.3784::DOUBLE}}), lambda a, x: CASE WHEN {LOAD.format(t=HALF)} < q THEN {{'lo': {HALF}, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': {HALF}}} END, {{'lo': 1e-9::DOUBLE, 'hi': 5.3784::DOUBLE}})], lambda a: {HALF})[1] END"
+SLOPE_OF = f"greatest({_manning('0.61::DOUBLE', 'd / 4')}, CASE WHEN q > 0 THEN least({_manning(f'(q / ({LIMIT} * pi() * d * d / 4))', 'd / 4')}, {_manning('3.05::DOUBLE', 'd / 4')}) ELSE {_manning('0.61::DOUBLE', 'd / 4')} END)"
+
+
+@query(
+    "SELECT u, v, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("diameter", "slope", "velocity", "fill", "cost_usd", "us_invert", "ds_invert")) + " FROM size_ WHERE u IS NOT NULL",
+    succ_=SUCC,
+    below_=BELOW,
+    pipes_=PIPES,
+    up_="SELECT node, 0 AS hops FROM succ_ UNION ALL SELECT s.next, u.hops + 1 FROM up_ u JOIN succ_ s ON s.node = u.node WHERE s.next IS NOT NULL",
+    level_="SELECT p.*, coalesce(l.level, 0) AS level FROM pipes_ p LEFT JOIN (SELECT node, max(hops) AS level FROM up_ GROUP BY node) l ON l.node = p.u",
+    # level after level from the leaves: a node's feeders lie in levels before
+    **{"size_(u, v, level, diameter, slope, velocity, fill, cost_usd, us_invert, ds_invert) USING KEY (u)": f"""SELECT CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(-1 AS BIGINT), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION (
+        WITH begun AS (
+            SELECT l.u, l.v, l.level, l.q, l.length, l.zu, l.zv, coalesce(f.least_d, 0) AS least_d, greatest(coalesce(f.floor, l.zu - 0.5::DOUBLE), l.zu - 5) AS above
+            FROM level_ l LEFT JOIN (SELECT v, max(ds_invert) AS floor, max(diameter) AS least_d FROM recurring.size_ GROUP BY v) f ON f.v = l.u WHERE l.level = (SELECT max(level) + 1 FROM size_)),
+        started AS (SELECT *, CASE WHEN above < zv + 0.001::DOUBLE * length THEN least(zv + 0.001::DOUBLE * length, zu - 0.01::DOUBLE) ELSE above END AS start FROM begun),
+        tried AS (SELECT *, {SLOPE_OF} AS wished FROM started, (SELECT round(0.15::DOUBLE + 0.075::DOUBLE * i, 3) AS d FROM range(39) t(i)) WHERE d >= least_d),
+        deep AS (SELECT *, zv - (start - wished * length) AS want FROM tried),
+        laid AS (SELECT *, least(greatest(want, 0.5::DOUBLE), 5) AS depth, least(greatest(want, 0.5::DOUBLE), 5) <> want AS limited FROM deep),
+        sloped AS (SELECT *, CASE WHEN limited THEN (start - (zv - depth)) / length ELSE wished END AS s FROM laid),
+        wet AS (SELECT *, {ANGLE} AS t FROM sloped WHERE s > 0),
+        flows AS (SELECT *, CASE WHEN t > 0 THEN (1 - cos(t / 2)) / 2 ELSE 0 END AS fill, CASE WHEN t > 0 THEN (d * d / 8 * (t - sin(t))) / (d * t / 2) ELSE 0 END AS radius, CASE WHEN t > 0 THEN q / (d * d / 8 * (t - sin(t))) ELSE 0 END AS vel FROM wet),
+        fits AS (SELECT u, min(d) AS d FROM flows WHERE fill <= {LIMIT} AND CASE WHEN limited THEN q * 1.5::DOUBLE <= sqrt(s) * pow(d / 4, 2::DOUBLE / 3) / 0.012::DOUBLE * pi() * d * d / 4
+            ELSE q <= 0 OR (vel BETWEEN 0.61::DOUBLE AND 3.05::DOUBLE AND NOT (d >= 0.45::DOUBLE AND 1000 * 9.81::DOUBLE * radius * s < 2)) END GROUP BY u),
+        largest AS (SELECT *, 3.0::DOUBLE AS d, greatest((start - (zv - 5)) / length, 0.001::DOUBLE) AS s FROM started WHERE u NOT IN (SELECT u FROM fits)),
+        chosen AS (SELECT u, v, level, d, s, vel, fill, start, length, zu, depth FROM flows JOIN fits USING (u, d) UNION ALL
+            SELECT u, v, level, d, s, CASE WHEN t > 0 THEN q / (d * d / 8 * (t - sin(t))) ELSE 0 END, CASE WHEN t > 0 THEN (1 - cos(t / 2)) / 2 ELSE 0 END, start, length, zu, zv - (start - s * length) FROM (SELECT *, {ANGLE} AS t FROM largest))
+        SELECT u, v, level, d, s, vel, fill, 1.32::DOUBLE / 2000 * (9579.31::DOUBLE * pow(d, 0.5737::DOUBLE) + 1163.77::DOUBLE * pow(greatest(length * (d + 0.3::DOUBLE) * ((zu - start + depth) / 2 + 0.1::DOUBLE), 0), 1.31::DOUBLE)), start, start - s * length FROM chosen)"""},
+)
 def pipe_by_pipe_full(spark, d):
     n = fx.nodes(spark, d)
     s = succ(spark, d).where("next is not null").select(F.col("node").alias("u"), F.col("next").alias("v"), F.lit(50.0).alias("length"))
-    return design.pipe_by_pipe(s, n, Hydraulics())
+    out = design.pipe_by_pipe(s, n, Hydraulics())
+    return out.select("u", "v", *[F.round(c, 5).alias(c) for c in ("diameter", "slope", "velocity", "fill", "cost_usd", "us_invert", "ds_invert")])
 
 
 @query("SELECT v AS node, max(0.3::DOUBLE + u % 5 * 0.075::DOUBLE) AS max_height, sum((0.3::DOUBLE + u % 5 * 0.075::DOUBLE) * (0.3::DOUBLE + u % 5 * 0.075::DOUBLE)) AS sum_d2, count(*) AS n_in, round(sqrt(sum((0.3::DOUBLE + u % 5 * 0.075::DOUBLE) * (0.3::DOUBLE + u % 5 * 0.075::DOUBLE) * pi() / 4) * 4 / pi()), 6) AS stub FROM fx_edges GROUP BY v")

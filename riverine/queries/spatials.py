@@ -43,36 +43,17 @@ def river_crossing_anti(spark, d):
     return e.join(spatial.crossing(e.select("id", "ax", "ay", "bx", "by"), river_lines(spark, d), 200), "id", "left_anti").select("id")
 
 
-@query("SELECT pond_id, arg_min(node_id, (d, node_id)) AS node_id, round(min(d), 6) AS distance FROM (SELECT *, surface_elevation - 3 + 0.001::DOUBLE * d AS need FROM pairs_ JOIN fx_nodes USING (node_id)) WHERE d <= 200 AND need < 12 AND node_id % 3 = 0 GROUP BY pond_id", pairs_=PAIRS)
+@query("SELECT pond_id, arg_min(node_id, (d, node_id)) AS node_id, round(min(d), 6) AS distance FROM (SELECT *, surface_elevation - 3 + 0.001::DOUBLE * d AS need FROM pairs_ JOIN fx_nodes USING (node_id)) WHERE d <= 200 AND need < 12 GROUP BY pond_id", pairs_=PAIRS)
 def drainable_anchor(spark, d):
-    return _anchors(spark, d, fx.nodes(spark, d).where("node_id % 3 = 0"))
-
-
-@query()
-def drainable_anchor_whole(spark, d):
-    return _anchors(spark, d, fx.nodes(spark, d))
-
-
-def _anchors(spark, d, nodes):
-    n = nodes.select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2"), "surface_elevation")
+    n = fx.nodes(spark, d).select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2"), "surface_elevation")
     p = spatial.near_points(fx.ponds(spark, d).select("pond_id", "x", "y"), n, 200).where(F.col("surface_elevation") - 3 + 0.001 * F.col("distance") < 12)
     return p.groupBy("pond_id").agg(F.min(F.struct("distance", "node_id")).alias("m")).select("pond_id", "m.node_id", F.round("m.distance", 6).alias("distance"))
 
 
-@query("SELECT a.node_id AS a, b.node_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM fx_nodes a JOIN fx_nodes b ON a.node_id % 9 = 1 AND b.node_id % 11 = 2 AND a.node_id <> b.node_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 120 WHERE NOT EXISTS (SELECT 1 FROM fx_rivers r WHERE least(a.x, b.x) < r.x AND greatest(a.x, b.x) > r.x)")
+@query("SELECT a.node_id AS a, b.node_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM fx_nodes a JOIN fx_nodes b ON a.node_id <> b.node_id AND abs(a.x - b.x) <= 120 AND abs(a.y - b.y) <= 120 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 120 WHERE NOT EXISTS (SELECT 1 FROM fx_rivers r WHERE least(a.x, b.x) < r.x AND greatest(a.x, b.x) > r.x)")
 def bridge_candidates(spark, d):
     n = fx.nodes(spark, d).select("node_id", "x", "y")
-    return _bridges(spark, d, n.where("node_id % 9 = 1"), n.where("node_id % 11 = 2"))
-
-
-@query()
-def bridge_candidates_whole(spark, d):
-    n = fx.nodes(spark, d).select("node_id", "x", "y")
-    return _bridges(spark, d, n, n)
-
-
-def _bridges(spark, d, sources, targets):
-    p = spatial.near_points(sources, targets.select(F.col("node_id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), 120).where("node_id <> b")
+    p = spatial.near_points(n, n.select(F.col("node_id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), 120).where("node_id <> b")
     p = p.select(F.col("node_id").alias("a"), "b", "distance", F.concat_ws("-", "node_id", "b").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"))
     return p.join(spatial.crossing(p.select("id", "ax", "ay", "bx", "by"), river_lines(spark, d), 200), "id", "left_anti").select("a", "b", F.round("distance", 6).alias("distance"))
 
@@ -226,22 +207,30 @@ def longest_border(spark, d):
 
 
 @query(
-    "SELECT row_, col_, id, part FROM (SELECT l.row_, l.col_, l.id, min(w.k) AS part FROM walk_ w JOIN land_ l ON l.row_ * 1000000000 + l.col_ = w.node GROUP BY ALL)",
-    land_=LAND + " WHERE row_ < 12 AND col_ < 14",
-    walk_="""SELECT row_ * 1000000000 + col_ AS node, row_ * 1000000000 + col_ AS k FROM land_ UNION SELECT w.node, b.row_ * 1000000000 + b.col_ FROM walk_ w JOIN land_ a ON a.row_ * 1000000000 + a.col_ = w.k
-        JOIN land_ b ON b.id = a.id AND abs(a.row_ - b.row_) + abs(a.col_ - b.col_) = 1""",
+    "SELECT l.row_, l.col_, l.id, w.part FROM walk_ w JOIN land_ l ON l.row_ * 1000000000 + l.col_ = w.node",
+    land_=LAND,
+    side_="SELECT a.row_ * 1000000000 + a.col_ AS k, b.row_ * 1000000000 + b.col_ AS o FROM (SELECT l.*, r, c FROM land_ l, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) t(r, c)) a JOIN land_ b ON b.row_ = a.row_ + r AND b.col_ = a.col_ + c AND b.id = a.id",
+    **{"walk_(node, part) USING KEY (node)": """SELECT row_ * 1000000000 + col_, row_ * 1000000000 + col_ FROM land_ UNION
+        SELECT s.o, min(w.part) FROM walk_ w JOIN side_ s ON s.k = w.node JOIN recurring.walk_ r ON r.node = s.o GROUP BY s.o, r.part HAVING min(w.part) < r.part"""},
 )
 def raster_regions(spark, d):
-    # as in the SQL, whose recursive walk is quadratic; raster_regions_whole takes all cells
-    return raster.regions(land(spark, d).where("row_ < 12 and col_ < 14"))
-
-
-@query()
-def raster_regions_whole(spark, d):
     return raster.regions(land(spark, d))
 
 
-@query()
+@query(
+    "SELECT n.row_, n.col_, min(row(n.r2, n.c2))[1] AS to_row, min(row(n.r2, n.c2))[2] AS to_col FROM on_ n JOIN far_ a ON a.row_ = n.row_ AND a.col_ = n.col_ JOIN far_ b ON b.row_ = n.r2 AND b.col_ = n.c2 WHERE b.far = a.far - 1 GROUP BY n.row_, n.col_",
+    near_="SELECT a.row_, a.col_, a.value, b.row_ AS r2, b.col_ AS c2 FROM fx_dem a JOIN fx_dem b ON b.row_ BETWEEN a.row_ - 1 AND a.row_ + 1 AND b.col_ BETWEEN a.col_ - 1 AND a.col_ + 1 AND (a.row_ <> b.row_ OR a.col_ <> b.col_) WHERE a.value IS NOT NULL AND b.value IS NOT NULL",
+    out_="SELECT d.row_, d.col_, d.value FROM fx_dem d LEFT JOIN (SELECT row_, col_, count(*) AS k FROM near_ GROUP BY row_, col_) n USING (row_, col_) WHERE d.value IS NOT NULL AND coalesce(k, 0) < 8",
+    # the least levels first, then the steps to an outlet over neighbours that give the level
+    **{
+        "level_(row_, col_, level) USING KEY (row_, col_)": """SELECT row_, col_, value FROM out_ UNION
+        SELECT n.row_, n.col_, min(greatest(n.value, w.level)) FROM level_ w JOIN near_ n ON n.r2 = w.row_ AND n.c2 = w.col_ LEFT JOIN recurring.level_ r ON r.row_ = n.row_ AND r.col_ = n.col_ WHERE (n.row_, n.col_) NOT IN (SELECT (row_, col_) FROM out_)
+        GROUP BY n.row_, n.col_, r.level HAVING r.level IS NULL OR min(greatest(n.value, w.level)) < r.level""",
+        "on_": "SELECT n.* FROM near_ n JOIN level_ a ON a.row_ = n.row_ AND a.col_ = n.col_ JOIN level_ b ON b.row_ = n.r2 AND b.col_ = n.c2 WHERE greatest(n.value, b.level) = a.level AND (n.row_, n.col_) NOT IN (SELECT (row_, col_) FROM out_)",
+        "far_(row_, col_, far) USING KEY (row_, col_)": """SELECT row_, col_, 0 FROM out_ UNION
+        SELECT n.row_, n.col_, min(w.far) + 1 FROM far_ w JOIN on_ n ON n.r2 = w.row_ AND n.c2 = w.col_ LEFT JOIN recurring.far_ r ON r.row_ = n.row_ AND r.col_ = n.col_ GROUP BY n.row_, n.col_, r.far HAVING r.far IS NULL OR min(w.far) + 1 < r.far""",
+    },
+)
 def raster_breach(spark, d):
     return raster.breach(fx.dem(spark, d))
 

@@ -46,11 +46,41 @@ def pond_orifice(spark, d):
     return fx.ponds(spark, d).select("pond_id", F.round(fn.orifice(fn.volume(F.col("area_m2"), P)), 6).alias("orifice"))
 
 
-@query()
+def _surface(depth, i):
+    """Area of a pond's water surface at i quarters of its depth."""
+    return f"pow(greatest(sqrt(area_m2) - 8 * ({depth} - {i} * {depth} / 4), 0.3::DOUBLE * sqrt(area_m2)), 2)"
+
+
+def _holds(depth):
+    return "(" + " + ".join(f"({_surface(depth, i)} + {_surface(depth, i + 1)}) / 2 * ({depth} / 4)" for i in range(4)) + ")"
+
+
+def _holds_below(depth, limit):
+    """The trapezoids under a limit, the one that it cuts in part."""
+    part = lambda i: f"CASE WHEN {i} * {depth} / 4 < {limit} THEN ({_surface(depth, i)} + {_surface(depth, i)} + (least({i + 1} * {depth} / 4, {limit}) - {i} * {depth} / 4) / ({depth} / 4) * ({_surface(depth, i + 1)} - {_surface(depth, i)})) / 2 * (least({i + 1} * {depth} / 4, {limit}) - {i} * {depth} / 4) ELSE 0 END"
+    return "(" + " + ".join(part(i) for i in range(4)) + ")"
+
+
+MID = "((lo + hi) / 2)"
+
+
+@query(
+    f"""SELECT pond_id, round(depth, 6) AS depth, round(abs(total - volume) / volume * 100, 4) AS error_pct, round(bottom / area_m2, 6) AS bottom_ratio, round(below / total, 6) AS activation, round(hours, 4) AS drawdown_h,
+        CASE WHEN bottom / area_m2 < 0.2::DOUBLE THEN 'fail' WHEN bottom / area_m2 < 0.3::DOUBLE THEN 'warn' ELSE 'pass' END AS bottom_flag, below / total < 0.85::DOUBLE AS activation_flag, NOT hours BETWEEN 24 AND 72 AS drawdown_flag
+    FROM (SELECT *, {_surface('depth', 0)} AS bottom, {_holds('depth')} AS total, {_holds_below('depth', '(0.9::DOUBLE * depth)')} AS below,
+        {_holds('depth')} / (0.65::DOUBLE * pi() * pow(CASE WHEN volume * 35.3147::DOUBLE < 50000 THEN 8 WHEN volume * 35.3147::DOUBLE < 200000 THEN 12 WHEN volume * 35.3147::DOUBLE < 400000 THEN 18 ELSE 24 END * 0.0254::DOUBLE, 2) / 4 * sqrt(9.81::DOUBLE * depth) * 3600) AS hours FROM depth_)""",
+    want_=f"SELECT pond_id, area_m2, {VOL} AS volume FROM fx_ponds",
+    halve_=f"""SELECT pond_id, area_m2, volume, greatest(volume / area_m2 * 0.5::DOUBLE, 0.1::DOUBLE) AS lo, least(volume / area_m2 * 3, 3.81::DOUBLE) AS hi, 0::DOUBLE AS best, 1e300::DOUBLE AS err, false AS done, 0 AS k FROM want_ UNION ALL
+        SELECT pond_id, area_m2, volume, CASE WHEN NOT done AND {_holds(MID)} < volume THEN {MID} ELSE lo END, CASE WHEN NOT done AND {_holds(MID)} >= volume THEN {MID} ELSE hi END,
+            CASE WHEN NOT done AND abs({_holds(MID)} - volume) / greatest(volume, 1) < err THEN {MID} ELSE best END, CASE WHEN done THEN err ELSE least(err, abs({_holds(MID)} - volume) / greatest(volume, 1)) END,
+            done OR abs({_holds(MID)} - volume) / greatest(volume, 1) < 0.05::DOUBLE, k + 1 FROM halve_ WHERE k < 30""",
+    depth_="SELECT pond_id, area_m2, volume, CASE WHEN volume / area_m2 >= 3.81::DOUBLE THEN 3.81::DOUBLE ELSE best END AS depth FROM halve_ WHERE k = 30",
+)
 def pond_depth_checks(spark, d):
     p = ponds.sized(fx.ponds(spark, d), P)
     c = fn.checks(F.col("area_m2"), F.col("bottom"), F.col("curve"), F.col("depth"), F.col("orifice"), F.col("weir_crest"), P)
-    return p.select("pond_id", F.round("depth", 6).alias("depth"), F.round(fn.volume_error_pct(F.col("curve"), F.col("volume")), 4).alias("error_pct"), c.alias("c")).select("pond_id", "depth", "error_pct", "c.*")
+    p = p.select("pond_id", F.round("depth", 6).alias("depth"), F.round(fn.volume_error_pct(F.col("curve"), F.col("volume")), 4).alias("error_pct"), c.alias("c")).select("pond_id", "depth", "error_pct", "c.*")
+    return p.withColumn("bottom_ratio", F.round("bottom_ratio", 6)).withColumn("activation", F.round("activation", 6)).withColumn("drawdown_h", F.round("drawdown_h", 4))
 
 
 @query("SELECT pond_id, min(CASE WHEN s >= need THEN s ELSE 0.9144::DOUBLE END) AS diameter FROM (SELECT pond_id, sqrt(4 * (area_m2 / 50000) / (pi() * 0.65::DOUBLE * sqrt(2 * 9.81::DOUBLE * 1.2::DOUBLE))) AS need FROM fx_ponds), (SELECT unnest([6, 8, 12, 18, 24, 30, 36]) * 0.0254::DOUBLE AS s) GROUP BY pond_id")
@@ -80,7 +110,14 @@ def pond_claim(spark, d):
     return ponds.claim(fx.ponds(spark, d).select("pond_id", "area_m2", (F.floor(F.col("x") / 200) * 100 + F.floor(F.col("y") / 200)).cast("long").alias("target")))
 
 
-@query()
+@query(
+    "SELECT pond_id, sub_id FROM fill_ WHERE taken",
+    offer_=f"""SELECT pond_id, node_id AS sub_id, 2500 * (1 + node_id % 5) AS area, {VOL} * 2 / (0.0254::DOUBLE * 0.5::DOUBLE) / 100 AS capacity, row_number() OVER (PARTITION BY pond_id ORDER BY dd, node_id) AS k FROM (
+        SELECT n.node_id, p.pond_id, p.area_m2, sqrt((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)) AS dd FROM fx_nodes n, fx_ponds p) WHERE dd <= 500 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY dd, pond_id) = 1""",
+    order_="SELECT pond_id, sub_id, area, row_number() OVER (PARTITION BY pond_id ORDER BY k) AS k FROM offer_",
+    fill_="""SELECT pond_id, CAST(NULL AS BIGINT) AS sub_id, min(capacity) AS room, false AS taken, CAST(0 AS BIGINT) AS k FROM offer_ GROUP BY pond_id UNION ALL
+        SELECT f.pond_id, o.sub_id, CASE WHEN o.area <= f.room THEN f.room - o.area ELSE f.room END, o.area <= f.room, o.k FROM fill_ f JOIN order_ o ON o.pond_id = f.pond_id AND o.k = f.k + 1""",
+)
 def pond_capacity_fill(spark, d):
     p = fx.ponds(spark, d).select("pond_id", F.col("x").alias("x2"), F.col("y").alias("y2"), (fn.volume(F.col("area_m2"), P) * 2 / (0.0254 * 0.5) / 100).alias("capacity"))
     n = fx.nodes(spark, d).select("node_id", "x", "y")
@@ -116,7 +153,17 @@ def dual_grates(spark, d):
     return g.select("u", "v", "id", F.round("orifice_diam_m", 6).alias("orifice_diam_m"))
 
 
-@query()
+@query(
+    "SELECT CASE WHEN zn >= zt THEN node ELSE dest END AS u, CASE WHEN zn >= zt THEN dest ELSE node END AS v, dd AS distance FROM join_ WHERE node IS NOT NULL",
+    both_="SELECT u, v FROM fx_edges WHERE highway = 'primary' UNION ALL SELECT v, u FROM fx_edges WHERE highway = 'primary'",
+    **{"part_(node, root) USING KEY (node)": "SELECT u, u FROM both_ UNION SELECT b.v, min(p.root) FROM part_ p JOIN both_ b ON b.u = p.node JOIN recurring.part_ r ON r.node = b.v GROUP BY b.v, r.root HAVING min(p.root) < r.root"},
+    at_="SELECT p.root, n.node_id AS node, n.x, n.y, n.surface_elevation AS z FROM part_ p JOIN fx_nodes n ON n.node_id = p.node",
+    pair_="""SELECT a.root, b.root AS dest_root, min(row(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), a.node, b.node, a.z, b.z)) AS m FROM (SELECT * FROM at_ QUALIFY row_number() OVER (PARTITION BY root ORDER BY z, node) = 1) a
+        JOIN at_ b ON b.root <> a.root AND abs(a.x - b.x) <= 300 AND abs(a.y - b.y) <= 300 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 300 GROUP BY 1, 2""",
+    # component after component, the nearest first
+    **{"join_(root, node, dest, dd, zn, zt) USING KEY (root)": """SELECT root, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM (SELECT root FROM at_ ORDER BY z, root LIMIT 1) UNION (
+        SELECT p.root, m[2], m[3], m[1], m[4], m[5] FROM pair_ p WHERE p.dest_root IN (SELECT root FROM recurring.join_) AND p.root NOT IN (SELECT root FROM recurring.join_) ORDER BY m LIMIT 1)"""},
+)
 def trunk_inference(spark, d):
     from ..operators import graph
 
@@ -167,21 +214,8 @@ def inp_junctions(spark, d):
     return inp.rows("JUNCTIONS", n, "node_id").select("section_no", "ord_text", "text")
 
 
-@query()
-def inp_sections(spark, d):
-    n = fx.nodes(spark, d)
-    names = n.select("node_id", F.concat(F.lit("J"), F.col("node_id").cast("string")).alias("Name"), (F.col("surface_elevation") - 3).alias("InvertElev"), "x", "y")
-    e = fx.edges(spark, d).select("id", F.col("id").alias("Name"), F.concat(F.lit("J"), F.col("u").cast("string")).alias("InletNode"), F.concat(F.lit("J"), F.col("v").cast("string")).alias("OutletNode"), F.col("length").alias("Length"))
-    return inp.document(spark, {"JUNCTIONS": (names, "node_id"), "CONDUITS": (e, "id"), "COORDINATES": (names.withColumnsRenamed({"x": "X", "y": "Y"}), "node_id")}, title="grid")
-
-
-@query("SELECT node_id, round(3.0::DOUBLE * sqrt(0.3048::DOUBLE), 6) AS metric, 3.0::DOUBLE AS us FROM fx_nodes WHERE node_id < 5")
+@query("SELECT node_id, round(3.0::DOUBLE * sqrt(0.3048::DOUBLE), 6) AS metric, 3.0::DOUBLE AS us FROM fx_nodes")
 def weir_units(spark, d):
-    return weir_units_whole(spark, d).where("node_id < 5")
-
-
-@query()
-def weir_units_whole(spark, d):
     return fx.nodes(spark, d).select("node_id", F.round(numeric.weir_coefficient(3.0, F.lit("LPS")), 6).alias("metric"), numeric.weir_coefficient(3.0, F.lit("cfs")).alias("us"))
 
 

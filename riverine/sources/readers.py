@@ -145,10 +145,10 @@ def parse_results(data: bytes) -> Iterator[tuple]:
 
 # Names of the attributes by element, in file order.
 ATTRIBUTES = {
-    "subcatchment": "rainfall snow_depth evap_loss infil_loss runoff_rate gw_outflow_rate gw_table_elev soil_moisture".split(),
-    "node": "invert_depth hydraulic_head ponded_volume lateral_inflow total_inflow flooding_losses".split(),
-    "link": "flow_rate flow_depth flow_velocity flow_volume capacity".split(),
-    "system": "air_temp rainfall snow_depth evap_infil_loss runoff_flow dry_weather_inflow gw_inflow rdii_inflow direct_inflow total_lateral_inflow flood_losses outfall_flows volume_stored evap_rate".split(),
+    "subcatchment": ("rainfall", "snow_depth", "evap_loss", "infil_loss", "runoff_rate", "gw_outflow_rate", "gw_table_elev", "soil_moisture"),
+    "node": ("invert_depth", "hydraulic_head", "ponded_volume", "lateral_inflow", "total_inflow", "flooding_losses"),
+    "link": ("flow_rate", "flow_depth", "flow_velocity", "flow_volume", "capacity"),
+    "system": ("air_temp", "rainfall", "snow_depth", "evap_infil_loss", "runoff_flow", "dry_weather_inflow", "gw_inflow", "rdii_inflow", "direct_inflow", "total_lateral_inflow", "flood_losses", "outfall_flows", "volume_stored", "evap_rate"),
 }
 
 

@@ -82,7 +82,7 @@ def test_bfs_whole_is_brute_force(spark):
                 best[i] = min(best.get(i, (math.inf, 0)), (hops, start))
             seen |= front
             front, hops = {b for i in front for b in next_to.get(i, ())} - seen, hops + 1
-    got = {r["node"]: (r["hops"], r["source"]) for r in QUERIES["bfs_sink_partition_whole"](spark, DATA).collect()}
+    got = {r["node"]: (r["hops"], r["source"]) for r in QUERIES["bfs_sink_partition"](spark, DATA).collect()}
     assert got == best and set(got) == set(next_to)
 
 
@@ -98,7 +98,7 @@ def test_regions_whole_is_brute_force(spark):
             if (r, c) not in part:
                 part[r, c] = start[0] * 1_000_000_000 + start[1]
                 front += [b for b in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)) if cells.get(b) == cells[r, c]]
-    got = {(r["row_"], r["col_"]): (r["id"], r["part"]) for r in QUERIES["raster_regions_whole"](spark, DATA).collect()}
+    got = {(r["row_"], r["col_"]): (r["id"], r["part"]) for r in QUERIES["raster_regions"](spark, DATA).collect()}
     assert got == {k: (cells[k], part[k]) for k in cells} and len(got) > 168
 
 
@@ -108,8 +108,8 @@ def test_whole_queries_take_all_rows(spark):
     rows = lambda name, *c: sorted(tuple(r[x] for x in c) for r in QUERIES[name](spark, DATA).collect())
     nodes, ponds, edges = (sorted(f(spark, DATA).collect()) for f in (fx.nodes, fx.ponds, fx.edges))
     z = {n["node_id"]: n["surface_elevation"] for n in nodes}
-    assert rows("weir_units_whole", "node_id", "us") == [(n["node_id"], 3.0) for n in nodes]
-    slopes = {(r["u"], r["v"]): (r["length"], r["sink_invert"]) for r in QUERIES["outfall_slope_whole"](spark, DATA).collect()}
+    assert rows("weir_units", "node_id", "us") == [(n["node_id"], 3.0) for n in nodes]
+    slopes = {(r["u"], r["v"]): (r["length"], r["sink_invert"]) for r in QUERIES["outfall_slope"](spark, DATA).collect()}
     assert len(slopes) == len(edges)
     for e in edges:
         up, down = z[e["u"]], z[e["v"]]
@@ -121,10 +121,10 @@ def test_whole_queries_take_all_rows(spark):
         near = [(far(p, n), n["node_id"]) for n in nodes if far(p, n) <= 200 and n["surface_elevation"] - 3 + 0.001 * far(p, n) < 12]
         if near:
             anchors[p["pond_id"]] = min(near)[1]
-    assert rows("drainable_anchor_whole", "pond_id", "node_id") == sorted(anchors.items()) and anchors
+    assert rows("drainable_anchor", "pond_id", "node_id") == sorted(anchors.items()) and anchors
     lines = [r["x"] for r in fx.rivers(spark, DATA).collect()]
     apart = lambda a, b: any(min(a["x"], b["x"]) < x < max(a["x"], b["x"]) for x in lines)
     want = sorted((a["node_id"], b["node_id"]) for a in nodes for b in nodes if a is not b and far(a, b) <= 120 and not apart(a, b))
-    assert rows("bridge_candidates_whole", "a", "b") == want and want
+    assert rows("bridge_candidates", "a", "b") == want and want
     subs = [r["sub_id"] for r in QUERIES["pond_capacity_fill"](spark, DATA).collect()]
     assert any(i % 2 for i in subs) and set(subs) <= set(z)
