@@ -32,17 +32,44 @@ def box_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(",", *[p.cast("string") for p in parts]), 256)
 
 
+def _times_exactly(x: Column, p: Column) -> tuple[Column, Column]:
+    """(product, what its rounding left off), by splitting both factors in halves of 26 bits."""
+    split = lambda v: (v * 134_217_729.0) - ((v * 134_217_729.0) - v)
+    xh, ph = split(x), split(p)
+    xl, pl = x - xh, p - ph
+    return x * p, ((xh * ph - x * p) + xh * pl + xl * ph) + xl * pl
+
+
 def general(x: Column, digits: int = 6) -> Column:
-    """A number as C's %g writes it: `digits` significant digits, no trailing zeros, exponent form when very large or small."""
+    """A number as C's %g writes it: `digits` significant digits, no trailing zeros, exponent form when very large or small.
+
+    C rounds the binary value itself and not its shortest decimal form, so a
+    number whose next digit is a lone 5 is decided by the exact product with a
+    power of ten.
+    """
     size = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
     sci = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.when(x == 0, F.lit(0)).otherwise(F.split_part(sci, F.lit("e"), F.lit(2)).cast("int"))
-    fixed = F.lit(None).cast("string")
-    for k in range(-4, digits):
-        fixed = F.when(exponent == k, F.format_string(f"%.{max(0, digits - 1 - k)}f", x)).otherwise(fixed)
+    tens = F.array(*[F.lit(10.0**k) for k in range(digits + 4)])
+    places = F.least(F.greatest(F.lit(digits - 1) - size, F.lit(0)), F.lit(digits + 3))
+    high, low = _times_exactly(F.abs(x), F.get(tens, places))
+    whole = F.floor(high)
+    over = high - whole
+    up = (over > 0.5) | ((over == 0.5) & ((low > 0) | ((low == 0) & (whole % 2 == 1))))
+    number = whole + up.cast("long")
+    scale = F.get(tens, places).cast("long")
+    fixed = F.concat(F.when(x < 0, F.lit("-")).otherwise(""), F.floor(number / scale).cast("string"), F.when(places > 0, F.concat(F.lit("."), F.lpad((number % scale).cast("string"), places, F.lit("0")))).otherwise(""))
     trim = lambda s: F.when(F.instr(s, ".") > 0, F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
     power = F.concat(trim(F.split_part(sci, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(sci, F.lit("e"), F.lit(2)))
-    return F.when(x.isNull() | size.isNull(), F.lit("")).when(exponent.between(-4, digits - 1), trim(fixed)).otherwise(power)
+    # large numbers: remainders of doubles are exact too
+    unit = F.get(F.array(*[F.lit(10.0**k) for k in range(11)]), size - (digits - 1))
+    rest = F.abs(x) % unit
+    most = ((F.abs(x) - rest) / unit).cast("long")
+    most = most + ((rest > unit / 2) | ((rest == unit / 2) & (most % 2 == 1))).cast("long")
+    carry = (most >= 10**digits).cast("int")
+    head = trim(F.concat(F.floor(most / F.when(carry == 1, F.lit(10**digits)).otherwise(10 ** (digits - 1))).cast("string"), F.lit("."), F.lpad((most % 10 ** (digits - 1)).cast("string"), digits - 1, "0")))
+    large = F.concat(F.when(x < 0, F.lit("-")).otherwise(""), head, F.format_string("e+%02d", size + carry))
+    power = F.when(size.between(digits, digits + 9), large).otherwise(power)
+    return F.when(x.isNull() | size.isNull(), F.lit("")).when(size.between(-4, digits - 1) & (number < 10**digits) | ((size < digits - 1) & (size >= -4)), trim(fixed)).otherwise(power)
 
 
 def flag(x: Column) -> Column:
