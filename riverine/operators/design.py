@@ -45,8 +45,8 @@ def river_areas(inflow: DataFrame, rivers: DataFrame, sampled: DataFrame) -> Dat
 
 
 def resize(edges: DataFrame, flows: DataFrame, p: Hydraulics) -> DataFrame:
-    """Diameters that carry the re-accumulated flows (u, q), never smaller than before nor than the widest above."""
-    need = edges.join(flows, "u").withColumn("need", numeric.first_diameter(lambda d: numeric.full_capacity(d, F.greatest("slope", F.lit(p.min_positive_slope))) >= F.col("q"), F.col("diameter"), p.diameters))
+    """Diameters that carry the re-accumulated flows (u, q) with the safety factor, never smaller than before nor than the widest above."""
+    need = edges.join(flows, "u").withColumn("need", numeric.first_diameter(lambda d: numeric.full_capacity(d, F.greatest("slope", F.lit(p.min_positive_slope))) >= F.col("q") * p.flat_terrain_capacity_factor, F.col("diameter"), p.diameters))
     above = graph.reach_max(need.select(F.col("u").alias("node"), F.col("v").alias("next"), F.col("need").alias("amount")))
     return need.drop("need").join(above.withColumnRenamed("node", "u"), "u").withColumn("diameter", F.greatest("diameter", "most")).drop("most", "q")
 
