@@ -148,3 +148,83 @@ def turn_angle(ax, ay, bx, by, cx, cy) -> Column:
     m = distance(ax, ay, bx, by) * distance(cx, cy, bx, by)
     cos = ((ax - bx) * (cx - bx) + (ay - by) * (cy - by)) / F.when(m == 0, F.lit(None)).otherwise(m)
     return F.when(cos.isNull(), F.lit(None).cast("double")).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
+
+
+# The ellipsoid of GPS and the scale of UTM's middle meridian.
+_AXIS, _FLAT, _SCALE = 6_378_137.0, 1 / 298.257223563, 0.9996
+_N = _FLAT / (2 - _FLAT)
+_RADIUS = _AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_FORTH = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def to_utm(lon: Column, lat: Column, epsg: Column) -> Column:
+    """(x, y) in metres of a position in degrees, in the UTM zone of an EPSG code, by Krueger's series (millimetres within a zone)."""
+    zone, south = epsg % 100, epsg >= 32700
+    k = 2 * _N**0.5 / (1 + _N)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - k * F.atanh(k * s))
+    off = F.radians(lon - (zone * 6 - 183))
+    xi, eta = F.atan2(t, F.cos(off)), F.atanh(F.sin(off) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, a in enumerate(_FORTH, 1):
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return F.struct((500_000 + _SCALE * _RADIUS * east).alias("x"), (F.when(south, 10_000_000.0).otherwise(0.0) + _SCALE * _RADIUS * north).alias("y"))
+
+
+def from_utm(x: Column, y: Column, epsg: Column) -> Column:
+    """(lon, lat) in degrees of a position in a UTM zone."""
+    zone, south = epsg % 100, epsg >= 32700
+    xi = (y - F.when(south, 10_000_000.0).otherwise(0.0)) / (_SCALE * _RADIUS)
+    eta = (x - 500_000) / (_SCALE * _RADIUS)
+    a, b = xi, eta
+    for j, c in enumerate(_BACK, 1):
+        a = a - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi
+    for j, c in enumerate(_LATITUDE, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.struct((F.degrees(F.atan2(F.sinh(b), F.cos(a))) + (zone * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def centroid(g: Column) -> Column:
+    """Centre of gravity of a ring; of a ring without area the mean of its corners."""
+    at = lambda i: (F.get(g, i), F.get(g, (i + 1) % F.size(g)))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "x", "y")])
+
+    def step(t, i):
+        p, q = at(i)
+        w = p["x"] * q["y"] - q["x"] * p["y"]
+        return F.struct((t["a"] + w).alias("a"), (t["x"] + (p["x"] + q["x"]) * w).alias("x"), (t["y"] + (p["y"] + q["y"]) * w).alias("y"))
+
+    s = F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step)
+    mean = lambda c: F.aggregate(g, F.lit(0.0), lambda t, p: t + p[c]) / F.size(g)
+    return F.struct(F.when(s["a"] == 0, mean("x")).otherwise(s["x"] / (3 * s["a"])).alias("x"), F.when(s["a"] == 0, mean("y")).otherwise(s["y"] / (3 * s["a"])).alias("y"))
+
+
+def is_valid_ring(g: Column) -> Column:
+    """At least three different corners, some area, and no two sides that cross."""
+    n = F.size(g)
+    side = lambda i: (F.get(g, i), F.get(g, (i + 1) % n))
+
+    def hits(i, j):
+        (a, b), (c, d) = side(i), side(j)
+        return crosses(a["x"], a["y"], b["x"], b["y"], c["x"], c["y"], d["x"], d["y"])
+
+    index = F.sequence(F.lit(0), n - 1)
+    knot = F.exists(index, lambda i: F.exists(index, lambda j: (j > i) & hits(i, j)))
+    return F.coalesce((F.size(F.array_distinct(g)) >= 3) & (ring_area(g) > 0) & ~knot, F.lit(False))
+
+
+def simplified(g: Column, tolerance: float) -> Column:
+    """The line without points that lie within a tolerance of the chord from the last kept point to the next one (ends stay)."""
+    inner = F.sequence(F.lit(1), F.greatest(F.size(g) - 2, F.lit(1)))
+
+    def step(t, i):
+        p, a, b = F.get(g, i), F.element_at(t, -1), F.get(g, i + 1)
+        return F.when(segment_distance(p["x"], p["y"], a["x"], a["y"], b["x"], b["y"]) <= tolerance, t).otherwise(F.concat(t, F.array(p)))
+
+    return F.when(F.size(g) < 3, g).otherwise(F.concat(F.aggregate(inner, F.slice(g, 1, 1), step), F.slice(g, -1, 1)))

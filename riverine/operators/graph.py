@@ -275,3 +275,28 @@ def reach_max(succ: DataFrame) -> DataFrame:
         hop = state.select(F.col("node").alias("far"), F.col("far").alias("beyond"))
         state = cut(state.join(hop, "far", "left").join(given, "node", "left").select("node", F.col("beyond").alias("far"), F.greatest("most", F.coalesce("more", "most")).alias("most")))
     return state.select("node", "most")
+
+
+def longest_path(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, far) along the heaviest way through an acyclic graph (u, v, weight); ties: smaller ids.
+
+    Labels grow until none does: a node's is the greatest weight of a way to
+    it; then the way is followed back from the best end.
+    """
+    e = cut(edges.groupBy("u", "v").agg(F.max("weight").alias("weight")))
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    state = cut(nodes.select("node", F.lit(0.0).alias("far"), F.lit(None).cast("long").alias("prev")))
+    for _ in range(rounds):
+        offer = state.join(e.withColumnRenamed("u", "node"), "node").groupBy(F.col("v").alias("at")).agg(F.min(F.struct((-(F.col("far") + F.col("weight"))).alias("n"), "node")).alias("m"))
+        nxt = state.join(offer.select(F.col("at").alias("node"), "m"), "node", "left")
+        grown = F.coalesce(-F.col("m.n") > F.col("far"), F.lit(False))
+        moved = grown | (F.col("m.n").isNotNull() & (-F.col("m.n") == F.col("far")) & (F.col("far") > 0) & ~F.col("m.node").eqNullSafe(F.col("prev")))
+        nxt = cut(nxt.select("node", F.when(moved, -F.col("m.n")).otherwise(F.col("far")).alias("far"), F.when(moved, F.col("m.node")).otherwise(F.col("prev")).alias("prev"), moved.alias("moved")))
+        state = nxt.drop("moved")
+        if not nxt.where("moved").take(1):
+            break
+    else:
+        raise RuntimeError("the longest path did not settle: is there a cycle?")
+    end = state.agg(F.min(F.struct((-F.col("far")).alias("n"), "node")).alias("m")).select(F.col("m.node").alias("node"))
+    back = state.where("prev is not null").select(F.col("node").alias("u"), F.col("prev").alias("v"))
+    return reach(back, end).select("node").join(state, "node").select("node", "far")

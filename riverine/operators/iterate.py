@@ -1,20 +1,47 @@
-"""Cutting lineage between the rounds of an iterative operator."""
+"""Cutting lineage between the rounds of an iterative operator, and a place for files in between."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark deletes a checkpoint's files once nothing refers to the table any more.
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the session's shared checkpoint folder (spark.checkpoint.dir).
 
-    A folder is made and set only where the session names none, as in tests
-    with a local master; a lost executor costs a re-read.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (spark.checkpoint.dir), which driver and executors share.
+
+    One is made and set only under a local master whose session names none, as
+    in tests; on a cluster that raises RuntimeError.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="riverine-")
-        context.setCheckpointDir(at)
-    return df.checkpoint()
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="riverine-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder; a lost executor costs a re-read.
+
+    The files go when no table that was made from it is left: a fixpoint keeps
+    the states of a few rounds and not of all.
+    """
+    shared_folder(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    was = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(_CLEAN, was)

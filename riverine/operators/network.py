@@ -125,3 +125,71 @@ def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     for end in ("u", "v"):
         edges = edges.join(mapping.withColumnsRenamed({"node_id": end, "into": "new"}), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
     return edges.where("u <> v")
+
+
+def split_kinds(edges: DataFrame) -> dict[str, DataFrame]:
+    """What isn't a street: rivers, outfalls and pond connectors, each a table."""
+    return {k: edges.where(F.col("edge_type") == k) for k in ("river", "outfall", "pond_connector")}
+
+
+def end_points(edges: DataFrame) -> DataFrame:
+    """(node_id, kinds): the sorted edge types at each node."""
+    return edges.select(F.explode(F.array("u", "v")).alias("node_id"), "edge_type").groupBy("node_id").agg(F.array_sort(F.collect_set("edge_type")).alias("kinds"))
+
+
+def union_later(first: DataFrame, later: DataFrame, key: str) -> DataFrame:
+    """Rows of both tables, of equal keys those of the later one."""
+    return first.join(later.select(key), key, "left_anti").unionByName(later, allowMissingColumns=True)
+
+
+def noded(lines: DataFrame, size: float = 100, digits: int = 3) -> DataFrame:
+    """(ax, ay, bx, by): the segments (id, ax, ay, bx, by) cut where others cross or touch them, each piece once, smaller end first."""
+    from .spatial import line_tiles
+
+    t = line_tiles(lines, "ax", "ay", "bx", "by", size)
+    o = t.select(*[F.col(c).alias(f"o{c}") for c in ("id", "ax", "ay", "bx", "by")], "i", "j")
+    pairs = t.join(o, ["i", "j"]).where("id <> oid").dropDuplicates(["id", "oid"])
+    dx, dy, ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
+    den = dx * ey - dy * ex
+    cross = lambda px, py, qx, qy: (F.col("oax") - F.col("ax")) * qy - (F.col("oay") - F.col("ay")) * qx
+    s, r = cross(0, 0, ex, ey) / F.nullif(den, F.lit(0.0)), cross(0, 0, dx, dy) / F.nullif(den, F.lit(0.0))
+    cuts = pairs.withColumn("s", s).withColumn("r", r).where("s > 1e-9 and s < 1 - 1e-9 and r > -1e-9 and r < 1 + 1e-9").groupBy("id").agg(F.array_sort(F.array_distinct(F.collect_list(F.round("s", 9)))).alias("cuts"))
+    at = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    whole = lines.join(cuts, "id", "left").withColumn("at", at).select("*", F.explode(F.sequence(F.lit(0), F.size("at") - 2)).alias("k"))
+    end = lambda c, k: F.round(F.col(f"a{c}") + F.get("at", k) * (F.col(f"b{c}") - F.col(f"a{c}")), digits)
+    p = F.struct(end("x", F.col("k")).alias("x"), end("y", F.col("k")).alias("y"))
+    q = F.struct(end("x", F.col("k") + 1).alias("x"), end("y", F.col("k") + 1).alias("y"))
+    out = whole.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).where("a <> b").distinct()
+    return out.select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+
+
+def simplify_lines(lines: DataFrame, tolerance: float) -> DataFrame:
+    """(id, geometry) with points dropped that lie within half the tolerance of the line without them (Douglas and Peucker), which is
+    where growing the tolerance until the shape moves ends: the first step already moves nothing."""
+    import pandas as pd
+
+    def reduce(line):
+        import numpy as np
+
+        g = np.array([(p["x"], p["y"]) for p in line])
+        keep, todo = {0, len(g) - 1}, [(0, len(g) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d = g[b] - g[a]
+            n = float(d @ d)
+            rel = g[a + 1 : b] - g[a]
+            t = np.clip(rel @ d / n, 0, 1) if n else np.zeros(len(rel))
+            off = np.hypot(*(rel - t[:, None] * d).T)
+            k = int(off.argmax())
+            if off[k] > tolerance / 2:
+                keep.add(a + 1 + k)
+                todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        return [line[i] for i in sorted(keep)]
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "geometry": [reduce(list(x)) for x in b["geometry"]]})
+
+    return lines.select("id", "geometry").mapInPandas(run, lines.select("id", "geometry").schema)

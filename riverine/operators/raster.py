@@ -157,15 +157,145 @@ def zonal_mean(zones: DataFrame, cells: DataFrame, by: str = "id", low: float |
     return zones.select(by).distinct().join(m, by, "left").crossJoin(F.broadcast(mid)).select(by, F.coalesce("mean", "mid", F.lit(float(otherwise))).alias("mean"))
 
 
-def regions(labels: DataFrame) -> DataFrame:
-    """(row_, col_, id, part): 4-connected parts of equal ids; part is the least cell key of it."""
+def regions(labels: DataFrame, reach: int = 0) -> DataFrame:
+    """(row_, col_, id, part): connected parts of equal ids; part is the least cell key of it.
+
+    Cells that share a side are connected; with reach, so are cells at most so
+    many rows and columns apart (1: corners count, 2: gaps of one cell too).
+    """
     l = labels.select("row_", "col_", "id", cell_key("row_", "col_").alias("node"))
     step = lambda dr, dc: l.select((F.col("row_") + dr).alias("row_"), (F.col("col_") + dc).alias("col_"), F.col("id").alias("id2"), F.col("node").alias("other"))
-    pairs = l.join(step(1, 0).unionByName(step(0, 1)), ["row_", "col_"]).where("id = id2").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    steps = [(1, 0), (0, 1)] if reach < 1 else [(r, c) for r in range(reach + 1) for c in range(-reach, reach + 1) if (r, c) > (0, 0)]
+    near = step(*steps[0])
+    for s in steps[1:]:
+        near = near.unionByName(step(*s))
+    pairs = l.join(near, ["row_", "col_"]).where("id = id2").select(F.col("node").alias("a"), F.col("other").alias("b"))
     c = graph.components(pairs, l.select("node"))
     return l.join(c, "node").select("row_", "col_", "id", F.col("root").alias("part"))
 
 
+def borders(labels: DataFrame, by: str = "part") -> DataFrame:
+    """(a, b, border): how many cell sides each two different parts share."""
+    l = labels.select("row_", "col_", F.col(by).alias("a"))
+    step = lambda dr, dc: l.select((F.col("row_") + dr).alias("row_"), (F.col("col_") + dc).alias("col_"), F.col("a").alias("b"))
+    sides = l.join(step(1, 0).unionByName(step(0, 1)).unionByName(step(-1, 0)).unionByName(step(0, -1)), ["row_", "col_"]).where("a <> b")
+    return sides.groupBy("a", "b").agg(F.count("*").alias("border"))
+
+
+def rehome(labels: DataFrame, reach: int = 1, rounds: int = 10_000) -> DataFrame:
+    """(row_, col_, id): the largest part of each id keeps it (ties: least part); round by round every other part takes the id of
+    the settled part with which it shares the longest border (ties: least part); islands take that of the nearest settled cell."""
+    r = cut(regions(labels, reach))
+    size = r.groupBy("id", "part").agg(F.count("*").alias("n"))
+    keep = size.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "part")).alias("m")).select(F.col("m.part").alias("part"), "id")
+    settled, rest = cut(keep), cut(size.select("part").join(keep, "part", "left_anti"))
+    touching = cut(borders(r))
+    for _ in range(rounds):
+        near = touching.join(settled.select(F.col("part").alias("b"), "id"), "b").join(rest.select(F.col("part").alias("a")), "a", "left_semi")
+        got = cut(near.groupBy(F.col("a").alias("part")).agg(F.min(F.struct((-F.col("border")).alias("n"), "b", "id")).alias("m")).select("part", F.col("m.id").alias("id")))
+        if not got.take(1):
+            break
+        settled, rest = cut(settled.unionByName(got)), cut(rest.join(got, "part", "left_anti"))
+    else:
+        raise RuntimeError("parts did not settle")
+    out = r.drop("id").join(settled, "part", "left").select("row_", "col_", "part", "id")
+    if not rest.take(1):
+        return out.select("row_", "col_", "id")
+    lone = cut(out)
+    # the island takes the id that its cell nearest to a settled one finds
+    filled = fill_gaps(lone.select("row_", "col_", F.col("id").alias("value")))
+    first = lone.where("id is null").join(filled, ["row_", "col_"]).groupBy("part").agg(F.min(F.struct("row_", "col_", "value")).alias("m")).select("part", F.col("m.value").cast(labels.schema["id"].dataType).alias("new"))
+    return lone.join(first, "part", "left").select("row_", "col_", F.coalesce("id", "new").alias("id"))
+
+
+def nested(labels: DataFrame) -> DataFrame:
+    """(sub_id, in_id, in_area): ids all of whose cells' neighbours, corners included, belong to one other id; in_area counts its cells.
+
+    An id on the rim of the labelled cells has the outside as a neighbour and isn't nested.
+    """
+    l = labels.select("row_", "col_", "id")
+    shift = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("s")
+    near = l.select("row_", "col_", "id", shift).select("id", (F.col("row_") + F.col("s.dr")).alias("row_"), (F.col("col_") + F.col("s.dc")).alias("col_"))
+    pairs = near.join(l.withColumnRenamed("id", "other"), ["row_", "col_"], "left").where("other is null or other <> id")
+    one = pairs.groupBy("id").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.bool_or(F.col("other").isNull()).alias("rim")).where("not rim and lo = hi")
+    size = l.groupBy(F.col("id").alias("lo")).agg(F.count("*").alias("in_area"))
+    return one.join(size, "lo").select(F.col("id").alias("sub_id"), F.col("lo").alias("in_id"), "in_area")
+
+
+def outlines(labels: DataFrame, size: float = 1) -> DataFrame:
+    """(id, ax, ay, bx, by): the sides of cells between an id and what is not it, the id on their left: its polygons' rings in pieces."""
+    l = labels.select("row_", "col_", "id")
+    x, y = F.col("col_") * size, F.col("row_") * size
+    out = None
+    for dr, dc, a, b in ((-1, 0, (0, 0), (1, 0)), (0, 1, (1, 0), (1, 1)), (1, 0, (1, 1), (0, 1)), (0, -1, (0, 1), (0, 0))):
+        same = l.select((F.col("row_") - dr).alias("row_"), (F.col("col_") - dc).alias("col_"), "id")
+        part = l.join(same, ["row_", "col_", "id"], "left_anti").select("id", (x + a[0] * size).alias("ax"), (y + a[1] * size).alias("ay"), (x + b[0] * size).alias("bx"), (y + b[1] * size).alias("by"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def shapes(labels: DataFrame, size: float = 1) -> DataFrame:
+    """(id, area, perimeter, x0, y0, x1, y1) of each id's polygon."""
+    e = outlines(labels, size)
+    twice = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
+    return e.groupBy("id").agg((F.sum(twice) / 2).alias("area"), (F.count("*") * float(size)).alias("perimeter"), F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by")).alias("y1"))
+
+
+def split_merged(labels: DataFrame, sites: DataFrame) -> DataFrame:
+    """(row_, col_, id): zones (id) that hold more than one site (zone, site, r, c) are dealt to their nearest sites, zones of one
+    take its name, zones without keep theirs."""
+    some = labels.select("row_", "col_", F.col("id").alias("zone"))
+    near = voronoi(some, sites)
+    return some.join(near, ["row_", "col_"], "left").select("row_", "col_", F.coalesce("site", "zone").alias("id"))
+
+
+def snap_pours(pours: DataFrame, accumulation: DataFrame, least: int, reach: int = 1) -> DataFrame:
+    """(id, row_, col_): pour points moved to the stream cell (at least so many cells drain through it) within reach that drains most
+    (ties: nearer, then row, column); those without one stay."""
+    span = range(-reach, reach + 1)
+    probe = pours.select("id", F.col("row_").alias("r"), F.col("col_").alias("c"), F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in span for b in span])).alias("s"))
+    probe = probe.select("id", "r", "c", (F.col("r") + F.col("s.dr")).alias("row_"), (F.col("c") + F.col("s.dc")).alias("col_"), (F.col("s.dr") * F.col("s.dr") + F.col("s.dc") * F.col("s.dc")).alias("off"))
+    best = probe.join(accumulation.where(F.col("cells") >= least), ["row_", "col_"]).groupBy("id").agg(F.min(F.struct((-F.col("cells")).alias("n"), "off", "row_", "col_")).alias("m"))
+    return pours.join(best, "id", "left").select("id", F.coalesce("m.row_", "row_").alias("row_"), F.coalesce("m.col_", "col_").alias("col_"))
+
+
+def fractional_cell(x, y, x0: float, y0: float, size: float, centre: bool = True):
+    """(row, column) as fractions of a position in a grid whose first cell begins at (x0, y0); whole numbers are cell centres if asked."""
+    half = 0.5 if centre else 0.0
+    return (y - y0) / size - half, (x - x0) / size - half
+
+
+def window(cells: DataFrame, x0: float, y0: float, x1: float, y1: float, size: float, margin: int = 0) -> DataFrame:
+    """Cells that a box touches, and a margin of cells about it; a range predicate that a scan can push down."""
+    import math
+
+    rows = F.col("row_").between(math.floor(y0 / size) - margin, math.ceil(y1 / size) - 1 + margin)
+    return cells.where(rows & F.col("col_").between(math.floor(x0 / size) - margin, math.ceil(x1 / size) - 1 + margin))
+
+
+def resample(target: DataFrame, cells: DataFrame, size: float, smooth: bool) -> DataFrame:
+    """(row_, col_, value) of target cells (row_, col_, x, y: their centre in the source's coordinates): bilinear, or that of the
+    source cell they lie in; null where the source has none."""
+    named = target.withColumn("key", F.struct("row_", "col_")).select("key", "x", "y")
+    got = sample(named, cells, size, "key") if smooth else at_cell(named, cells, size, "key")
+    out = target.select(F.struct("row_", "col_").alias("key")).join(got, "key", "left")
+    return out.select("key.row_", "key.col_", "value")
+
+
+def closing(cells: DataFrame, reach: int) -> DataFrame:
+    """(row_, col_, id): an id's own cells and those that dilation and then erosion by so many cells add; the first id wins."""
+    own = cells.select("row_", "col_", "id")
+    return own.unionByName(enclosed(own, None, reach).join(own.select("row_", "col_"), ["row_", "col_"], "left_anti"))
+
+
+def waters(classes: DataFrame, water: int = 11, least: int = 9, reach: int = 1) -> DataFrame:
+    """(row_, col_, body): water bodies of a land-cover grid: connected cells of the class, at least so many, closed by a cell."""
+    r = regions(classes.where(F.col("value") == water).select("row_", "col_", F.lit(1).alias("id")))
+    big = r.groupBy("part").count().where(F.col("count") >= least).select("part")
+    bodies = r.join(big, "part", "left_semi").select("row_", "col_", F.col("part").alias("id"))
+    return closing(bodies, reach).withColumnRenamed("id", "body")
+
+
 def longest_border(labels: DataFrame) -> DataFrame:
     """(id, near, border): for each id the neighbour with the longest shared border (in cell sides; ties: smaller id)."""
     l = labels.select("row_", "col_", "id")

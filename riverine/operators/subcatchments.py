@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import graph
+from . import graph, raster
 
 
 def dissolve(subs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -64,3 +64,51 @@ def merge_nested(pairs: DataFrame, subs: DataFrame) -> DataFrame:
     step = pairs.groupBy("sub_id").agg(F.min(F.struct("in_area", "in_id")).alias("m")).select(F.col("sub_id").alias("node"), F.col("m.in_id").alias("into"))
     end = graph.resolve(step).withColumnsRenamed({"node": "node_id"})
     return dissolve(subs.withColumn("outlet_id", F.col("sub_id")), end).withColumnRenamed("outlet_id", "sub_id")
+
+
+def smallest_container(pairs: DataFrame) -> DataFrame:
+    """(sub_id, in_id): of several containers (sub_id, area, in_id, in_area) the smallest that is larger than what it holds (ties: smaller id)."""
+    fit = pairs.where(F.col("in_area") > F.col("area"))
+    return fit.groupBy("sub_id").agg(F.min(F.struct("in_area", "in_id")).alias("m")).select("sub_id", "m.in_id")
+
+
+def from_cells(labels: DataFrame, size: float, slope: DataFrame) -> DataFrame:
+    """(sub_id, outlet_id, area, slope, width): subcatchments of labelled cells (row_, col_, id), their mean slope and the radius of a circle as large."""
+    m = raster.zonal_mean(labels, slope)
+    n = labels.groupBy("id").agg((F.count("*") * float(size * size)).alias("area"))
+    return n.join(m, "id").select(F.col("id").alias("sub_id"), F.col("id").alias("outlet_id"), "area", F.col("mean").alias("slope"), F.sqrt(F.col("area") / math.pi).alias("width"))
+
+
+def derive(pointer: DataFrame, nodes: DataFrame, slope: DataFrame, size: float, least_cells: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(subs, labels) of a drainage pointer (row_, col_, to_row, to_col) and nodes (node_id, x, y) as pour points.
+
+    Pour points move to a stream cell beside them; cells take the first pour
+    point below, gaps the nearest label; cells of nodes that share a pour cell
+    are dealt by distance; parts cut off go to the neighbour of the longest
+    border and nested subcatchments into their container.  No node on the grid
+    raises ValueError.
+    """
+    from .iterate import cut
+
+    at = nodes.select(F.col("node_id").alias("id"), F.floor(F.col("y") / size).cast("long").alias("row_"), F.floor(F.col("x") / size).cast("long").alias("col_"))
+    on = at.join(pointer.select("row_", "col_"), ["row_", "col_"], "left_semi")
+    if not on.take(1):
+        raise ValueError("no pour point lies on the grid")
+    pours = cut(raster.snap_pours(on, raster.flow_accumulation(pointer), least_cells))
+    shed = raster.watersheds(pointer, pours)
+    every = pointer.select("row_", "col_").join(shed, ["row_", "col_"], "left").select("row_", "col_", F.col("id").cast("double").alias("value"))
+    zones = cut(raster.fill_gaps(every).select("row_", "col_", F.col("value").cast("long").alias("id")))
+    lead = pours.groupBy("row_", "col_").agg(F.min("id").alias("zone"))
+    sites = pours.join(lead, ["row_", "col_"]).join(on.select("id", F.col("row_").alias("r"), F.col("col_").alias("c")), "id").select("zone", F.col("id").alias("site"), "r", "c")
+    labels = cut(raster.rehome(raster.split_merged(zones, sites), 0))
+    inside = cut(raster.nested(labels))
+    end = graph.resolve(inside.select(F.col("sub_id").alias("node"), F.col("in_id").alias("into")))
+    labels = cut(labels.join(end.withColumnRenamed("node", "id"), "id", "left").select("row_", "col_", F.coalesce("into", "id").alias("id")))
+    return from_cells(labels, size, slope), labels
+
+
+def reported(nodes: DataFrame, subs: DataFrame) -> DataFrame:
+    """(n_subs, n_zero, area, given): how many subcatchments there are, how many outlets got no area, all area, and what nodes hold."""
+    s = subs.agg(F.count("*").alias("n_subs"), F.sum("area").alias("area"))
+    n = nodes.agg(F.count(F.when(F.coalesce("contributing_area", F.lit(0.0)) <= 0, 1)).alias("n_zero"), F.sum("contributing_area").alias("given"))
+    return s.crossJoin(F.broadcast(n)).select("n_subs", "n_zero", "area", "given")

@@ -77,6 +77,60 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.withColumn("geometry", from_wkt(F.col("geometry"))) if "geometry" in edges.columns else edges
 
 
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph written in lines; any number of tasks reads them."""
+    edges = spark.read.json(f"{path}/links").withColumnsRenamed({"source": "u", "target": "v"})
+    return spark.read.json(f"{path}/nodes"), edges.withColumn("geometry", from_wkt(F.col("geometry"))) if "geometry" in edges.columns else edges
+
+
+def read_cells(spark: SparkSession, path: str, rows: tuple[int, int], tile: int = 256) -> DataFrame:
+    """Cells of the given rows (first, last): of the tile rows they lie in alone."""
+    a, b = rows
+    return spark.read.parquet(path).where(F.col("tile_row").between(a // tile, b // tile) & F.col("row_").between(a, b)).drop("tile_row")
+
+
+def clipped(df: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """Lines (geometry) that a box touches with their own box."""
+    x0, y0, x1, y1 = bbox
+    xs, ys = F.transform("geometry", lambda p: p["x"]), F.transform("geometry", lambda p: p["y"])
+    return df.where((F.array_max(xs) >= x0) & (F.array_min(xs) <= x1) & (F.array_max(ys) >= y0) & (F.array_min(ys) <= y1))
+
+
+def starting_edges(streets: DataFrame, rivers: DataFrame) -> DataFrame:
+    """Streets as pipes and rivers, clipped to the streets' box, in one table; a river keeps its line and nothing else."""
+    xs, ys = F.col("p.x"), F.col("p.y")
+    box = streets.select(F.explode("geometry").alias("p")).agg(F.min(xs).alias("bx0"), F.min(ys).alias("by0"), F.max(xs).alias("bx1"), F.max(ys).alias("by1"))
+    lo = lambda c: F.array_min(F.transform("geometry", lambda p: p[c]))
+    hi = lambda c: F.array_max(F.transform("geometry", lambda p: p[c]))
+    near = rivers.crossJoin(F.broadcast(box)).where((hi("x") >= F.col("bx0")) & (lo("x") <= F.col("bx1")) & (hi("y") >= F.col("by0")) & (lo("y") <= F.col("by1")))
+    return streets.withColumn("edge_type", F.lit("pipe")).unionByName(near.select("id", "geometry").withColumn("edge_type", F.lit("river")), allowMissingColumns=True)
+
+
+def tiles(spark: SparkSession, bbox: tuple[float, float, float, float], resolution: float, most_pixels: int) -> DataFrame:
+    """(tile, x0, y0, x1, y1, key): a box in metres cut into equal tiles of at most so many pixels; key names a tile's file."""
+    import math
+
+    a, b, c, d = bbox
+    side = max(1, math.isqrt(most_pixels)) * resolution
+    nx, ny = max(1, math.ceil((c - a) / side)), max(1, math.ceil((d - b) / side))
+    i, j = F.col("id") % nx, F.floor(F.col("id") / nx)
+    x, y = lambda k: F.lit(a) + (c - a) * k / nx, lambda k: F.lit(b) + (d - b) * k / ny
+    t = spark.range(nx * ny).select(F.col("id").alias("tile"), x(i).alias("x0"), y(j).alias("y0"), x(i + 1).alias("x1"), y(j + 1).alias("y1"))
+    return t.withColumn("key", text.box_hash(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.lit(resolution)))
+
+
+def result_times(spark: SparkSession, start_day: float, step_s: int, periods: int) -> DataFrame:
+    """(period, hours, ts) of a result's reports: start is in days since 1899-12-30, the first report a step later."""
+    i = F.col("id") + 1
+    base = round((start_day - 25_569) * 86_400)
+    return spark.range(periods).select(F.col("id").alias("period"), (i * step_s / 3600).alias("hours"), F.timestamp_seconds(F.lit(base) + i * step_s).cast("timestamp_ntz").alias("ts"))
+
+
+def same_box(a, b):
+    """Whether two boxes, as arrays of corners, hold the same coordinates in any order."""
+    return F.array_sort(a) == F.array_sort(b)
+
+
 def from_wkt(wkt):
     """LINESTRING (x y, x y ...) as an array of points; other shapes and null give null."""
     inner = F.regexp_extract(wkt, r"^\s*LINESTRING\s*\(([^()]*)\)\s*$", 1)

@@ -62,3 +62,33 @@ def write_layers(network: Network, path: str) -> None:
     nodes.write.mode("overwrite").partitionBy("layer").parquet(f"{path}/nodes")
     if network.subs is not None:
         network.subs.write.mode("overwrite").parquet(f"{path}/subcatchments")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as node-link JSON in two folders of lines, one object each; geometries as WKT.  read_graph_lines reads them in many tasks."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    e = edges.withColumn("geometry", to_wkt(F.col("geometry"))) if "geometry" in edges.columns else edges
+    e.withColumnsRenamed({"u": "source", "v": "target"}).write.mode("overwrite").json(f"{path}/links")
+
+
+def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """text: the whole graph as one node-link JSON document, for readers that want a single file of a small graph."""
+    e = edges.withColumn("geometry", to_wkt(F.col("geometry"))) if "geometry" in edges.columns else edges
+    n = nodes.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*nodes.columns)))).alias("n"))
+    l = e.withColumnsRenamed({"u": "source", "v": "target"})
+    l = l.agg(F.to_json(F.array_sort(F.collect_list(F.struct("source", "target", *[c for c in l.columns if c not in ("source", "target")])))).alias("l"))
+    return n.crossJoin(l).select(F.concat(F.lit('{"directed": true, "multigraph": true, "graph": {}, "nodes": '), "n", F.lit(', "links": '), "l", F.lit("}")).alias("text"))
+
+
+def write_cells(cells: DataFrame, path: str, tile: int = 256) -> None:
+    """A grid as Parquet, a folder per tile row, so that a window reads just its rows."""
+    cells.withColumn("tile_row", F.floor(F.col("row_") / tile).cast("int")).write.mode("overwrite").partitionBy("tile_row").parquet(path)
+
+
+def config_rows(spark, params) -> DataFrame:
+    """(group, name, value): every parameter of a run, its value as JSON."""
+    import json
+    from dataclasses import asdict
+
+    rows = [(g, n, json.dumps(v)) for g, values in asdict(params).items() for n, v in values.items()]
+    return spark.createDataFrame(rows, "`group` string, name string, value string")
