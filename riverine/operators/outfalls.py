@@ -153,7 +153,8 @@ def identify(
 
     nodes(node_id, x, y, surface_elevation, node_type), edges(u, v, edge_type,
     length), rivers(river_id, x0, y0, x1, y1).  Every street near water is a
-    candidate; a component without one gets a dummy at its lowest street.
+    candidate; a component without one, and without a node that is an outfall
+    already (node_type), gets a dummy at its lowest street.
     Which candidates stay is said by a spanning tree: rivers and sinks join
     the waste node at no cost, pipes cost their length and an outfall the
     clustering factor times the median pipe, so that one outfall is left of
@@ -167,7 +168,8 @@ def identify(
     parts = graph.components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), nodes.select(F.col("node_id").alias("node")))
     pairs = cut(pair_receiving(streets, rivers, waters, p, cells, size))
     cost = pipes.agg((F.coalesce(F.median("length"), F.lit(0.0)) * p.outfall_clustering_factor).alias("weight"))
-    paired = pairs.select(F.col("node_id").alias("node")).distinct().join(parts, "node").select("root").distinct()
+    given = nodes.where("node_type like '%outfall'").select("node_id")
+    paired = pairs.select(F.col("node_id").alias("node")).unionByName(given.select(F.col("node_id").alias("node"))).distinct().join(parts, "node").select("root").distinct()
     low = streets.where("coalesce(node_type, '') <> 'water_body'").join(parts.withColumnRenamed("node", "node_id"), "node_id").join(paired, "root", "left_anti")
     low = low.groupBy("root").agg(F.min(F.struct("surface_elevation", "node_id", "x", "y")).alias("m")).select("m.node_id", F.lit("dummy_river").alias("kind"), F.lit(None).cast("double").alias("distance"), (F.col("m.x") + 1).alias("x"), (F.col("m.y") + 1).alias("y"))
     number = F.create_map(*[F.lit(x) for kv in SINKS.items() for x in kv])[F.col("kind")]
@@ -182,7 +184,7 @@ def identify(
     river = F.col("edge_type") == "river"
     arcs = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.when(river, 0.0).otherwise(F.coalesce("length", F.lit(1.0))).alias("weight"))
     out = edges.select(F.col("u").alias("node_id")).unionByName(links.select(F.col("u").alias("node_id")))
-    roots = nodes.select("node_id").join(out, "node_id", "left_anti").unionByName(sinks.select("node_id"))
+    roots = nodes.select("node_id").join(out, "node_id", "left_anti").unionByName(sinks.select("node_id")).unionByName(given)
     arcs = arcs.unionByName(links.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight")).unionByName(roots.select(F.col("node_id").alias("a"), F.lit(WASTE).alias("b"), F.lit(0.0).alias("weight")))
     tree = graph.spanning_forest(arcs).select("a", "b")
     kept = links.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).join(tree, ["a", "b"], "left_semi")

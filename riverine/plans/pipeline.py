@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import numeric
 from ..network import Network
-from ..operators import design, dual, graph, network as net, ponds, spatial, subcatchments
 from ..params import Parameters
+from . import steps
 
 
 @dataclass(frozen=True)
@@ -41,171 +41,72 @@ class Pipeline:
             if folder is None or spark is None:
                 raise ValueError("to resume, the folder and the session are needed")
             network, first = load(spark, f"{folder}/{resume_after}"), names.index(resume_after) + 1
+        else:
+            network = steps.shaped(network)
+        places: dict[str, tuple[object, str]] = {}
         for step in self.steps[first:]:
             network = step.func(network, params)
             if not network.has_drains():
                 return network
             if folder is not None and step.checkpoint:
-                network = replace(save(network, f"{folder}/{step.name}"), meta=network.meta, crs=network.crs)
+                network = save(network, f"{folder}/{step.name}", places)
         return network
 
 
-def save(network: Network, path: str) -> Network:
-    """Writes the tables as Parquet and returns the network that reads them."""
-    spark = network.nodes.sparkSession
+def save(network: Network, path: str, places: dict[str, tuple[object, str]] | None = None) -> Network:
+    """Writes the tables as Parquet and returns the network that reads them.
+
+    Tables of meta are written where they are new; `places` remembers where
+    those of earlier steps lie.  A manifest names them all.
+    """
+    spark, places = network.nodes.sparkSession, {} if places is None else places
     for name in ("nodes", "edges", "subs"):
         if (df := getattr(network, name)) is not None:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-    return load(spark, path, subs=network.subs is not None)
-
-
-def load(spark: SparkSession, path: str, subs: bool | None = None) -> Network:
+    manifest, meta = {}, dict(network.meta)
+    for name, value in network.meta.items():
+        if not isinstance(value, DataFrame):
+            manifest[name] = {"value": value}
+            continue
+        if name not in places or places[name][0] is not value:
+            at = f"{path}/meta/{name}"
+            value.write.mode("overwrite").parquet(at)
+            meta[name] = spark.read.parquet(at)
+            places[name] = (meta[name], at)
+        manifest[name] = {"table": places[name][1]}
+    text = json.dumps({"crs": network.crs, "meta": manifest})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return replace(load(spark, path, subs=network.subs is not None, meta=meta), crs=network.crs)
+
+
+def load(spark: SparkSession, path: str, subs: bool | None = None, meta: dict | None = None) -> Network:
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     there = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))
     if not there("edges"):
         raise FileNotFoundError(f"no tables in {path}")
     has = there("subs") if subs is None else subs
-    return Network(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/subs") if has else None)
-
-
-def _both(edges, nodes, *columns):
-    for end in ("u", "v"):
-        edges = edges.join(nodes.select(F.col("node_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
-    return edges
-
-
-def remove_unwanted(n: Network, p: Parameters) -> Network:
-    return n.with_edges(net.without_highways(n.edges, p.topology.omit_edges)).drop_isolated()
-
-
-def give_ids(n: Network, p: Parameters) -> Network:
-    return n.with_edges(net.assign_ids(n.edges))
-
-
-def merge_short(n: Network, p: Parameters) -> Network:
-    moves = net.short_clusters(n.edges.where("edge_type = 'pipe'"), n.nodes)
-    return n.with_edges(net.relabel(n.edges, moves)).drop_isolated()
-
-
-def both_ways(n: Network, p: Parameters) -> Network:
-    pipes, others = n.edges.where("edge_type = 'pipe'"), n.edges.where("edge_type <> 'pipe'")
-    return n.with_edges(net.double_directed(pipes).unionByName(net.orient_downhill(others, n.nodes)))
-
-
-def slopes(n: Network, p: Parameters) -> Network:
-    e = _both(n.edges, n.nodes, "surface_elevation")
-    s = (F.col("u_surface_elevation") - F.col("v_surface_elevation")) / F.col("length")
-    return n.with_edges(e.withColumn("surface_slope", s).withColumn("chahinian_slope", numeric.slope_cost(s)).drop("u_surface_elevation", "v_surface_elevation"))
-
-
-def weights(n: Network, p: Parameters) -> Network:
-    t = p.topology
-    e = n.edges.join(n.nodes.select(F.col("node_id").alias("v"), "contributing_area"), "v")
-    bounds = e.agg(*[f(c).alias(f"{c}_{k}") for c in t.weights for k, f in (("lo", F.min), ("hi", F.max))])
-    parts = [numeric.scaled(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), t.exponent[c], t.scaling[c]) for c in t.weights]
-    return n.with_edges(e.crossJoin(F.broadcast(bounds)).withColumn("weight", sum(parts[1:], parts[0])).drop(*bounds.columns))
-
-
-def derive(n: Network, p: Parameters) -> Network:
-    """Keeps the edges of the turn-aware forest to the outfalls (node_type ends in outfall)."""
-    roots = n.nodes.where("node_type like '%outfall'").select(F.col("node_id").alias("node"))
-    f = graph.turn_forest(n.edges.select("u", "v", "weight"), n.nodes, roots, p.topology.angle_scaling)
-    f = f.select(F.col("node").alias("u"), F.col("next").alias("v"), F.col("root").alias("outfall"), F.col("dist").alias("shortest_path")).where("v is not null")
-    one = n.edges.dropDuplicates(["u", "v"])
-    return n.with_edges(one.join(f, ["u", "v"])).drop_isolated()
-
-
-def pipes(n: Network, p: Parameters) -> Network:
-    sized = design.pipe_by_pipe(n.edges.where("edge_type = 'pipe'").select("u", "v", "length"), n.nodes, p.hydraulics)
-    return n.with_edges(n.edges.join(sized.select("u", "v", "diameter", "cost_usd"), ["u", "v"], "left"))
-
-
-def drops(n: Network, p: Parameters) -> Network:
-    e = _both(n.edges, n.nodes, "surface_elevation")
-    d = design.manhole_drop(F.col("u_surface_elevation") - F.col("v_surface_elevation"), p.hydraulics)
-    return n.with_edges(e.withColumn("out_offset", d).drop("u_surface_elevation", "v_surface_elevation"))
-
-
-def no_crossings(n: Network, p: Parameters) -> Network:
-    """Pipes that cross a river go; their nodes stay."""
-    xy = n.nodes.select("node_id", "x", "y")
-    e = _both(n.edges, xy, "x", "y").withColumnsRenamed({"u_x": "ax", "u_y": "ay", "v_x": "bx", "v_y": "by"})
-    rivers = e.where("edge_type = 'river'").select(F.col("id").alias("river_id"), F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), F.col("by").alias("y1"))
-    hit = spatial.crossing(e.where("edge_type = 'pipe'").select("id", "ax", "ay", "bx", "by"), rivers, p.subcatchments.max_street_length * 2)
-    return n.with_edges(n.edges.join(hit, "id", "left_anti"))
-
-
-def river_channels(n: Network, p: Parameters) -> Network:
-    """channel_width and channel_depth of rivers by what drains to their upper end along the derived forest."""
-    s = n.nodes.select(F.col("node_id").alias("node"), F.col("contributing_area").alias("amount")).join(n.edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("next")), "node", "left")
-    z = n.nodes.select(F.col("node_id").alias("node"), F.col("surface_elevation").alias("z"))
-    c = design.channels(graph.accumulate(s).join(z, "node"), p.channels).select(F.col("node").alias("u"), "width", "depth")
-    river = F.col("edge_type") == "river"
-    e = n.edges.join(c, "u", "left").withColumn("channel_width", F.when(river, F.col("width"))).withColumn("channel_depth", F.when(river, F.col("depth"))).drop("width", "depth")
-    return n.with_edges(e)
-
-
-def orphan_subs(n: Network, p: Parameters) -> Network:
-    """Subcatchments whose outlet reaches no outfall go (a network without subcatchments is left as it is)."""
-    if n.subs is None:
-        return n
-    outfalls = n.nodes.where("node_type like '%outfall'").select(F.col("node_id").alias("node"))
-    return n.with_subs(n.subs.join(subcatchments.orphans(n.subs, n.edges, outfalls).select("sub_id"), "sub_id", "left_anti"))
-
-
-def street_channels(n: Network, p: Parameters) -> Network:
-    """The surface network over the pipes, if it is asked for."""
-    if not p.dual_drainage.enabled:
-        return n
-    pipes_ = n.edges.where("edge_type = 'pipe'")
-    if "lanes" not in pipes_.columns:
-        pipes_ = pipes_.withColumn("lanes", F.lit(None).cast("string"))
-    up = dual.surface_nodes(n.nodes, pipes_, p.dual_drainage)
-    more = dual.channels(pipes_, p.dual_drainage).unionByName(dual.grates(up), allowMissingColumns=True).withColumn("key", F.lit(0))
-    out = n.with_nodes(n.nodes.unionByName(up, allowMissingColumns=True)).with_edges(n.edges.unionByName(more, allowMissingColumns=True))
-    return out if n.subs is None else out.with_subs(dual.rerouted(n.subs, up))
-
-
-def insert_ponds(n: Network, p: Parameters) -> Network:
-    """Ponds of n.meta["ponds"] (pond_id, x, y, area_m2, water) become storage nodes with a connector to the nearest node
-    within max_snap; lakes and ponds without one are left out, and of ponds with one anchor the largest has it."""
-    given = n.meta.get("ponds")
-    if given is None:
-        return n
-    sized = ponds.sized(given.where(F.col("area_m2") >= p.ponds.min_area_m2), p.ponds).where("kind = 'pond'")
-    at = n.nodes.select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = spatial.nearest_points(sized.select("pond_id", "x", "y"), at, p.ponds.max_snap, "pond_id", "node_id")
-    won = ponds.claim(near.join(sized.select("pond_id", "area_m2"), "pond_id").select("pond_id", "area_m2", F.col("node_id").alias("target")))
-    z = n.nodes.select(F.col("node_id").alias("target"), "surface_elevation", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    placed = sized.join(won, "pond_id").join(z, "target")
-    nodes = placed.select(F.col("pond_id").alias("node_id"), "x", "y", "surface_elevation", F.lit(0.0).alias("contributing_area"), F.lit("water_body").alias("node_type"), F.col("area_m2").alias("wb_area_m2"), F.col("volume").alias("wb_volume_m3"), F.col("depth").alias("wb_max_depth"), F.col("orifice").alias("wb_orifice_diam_m"), F.col("weir_crest").alias("wb_weir_crest_m"))
-    links = placed.select(F.col("pond_id").alias("u"), F.col("target").alias("v"), F.lit(0).alias("key"), F.lit("pond_connector").alias("edge_type"), F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")).alias("length"))
-    return n.with_nodes(n.nodes.unionByName(nodes, allowMissingColumns=True)).with_edges(n.edges.unionByName(links, allowMissingColumns=True))
-
-
-def pond_outlets(n: Network, p: Parameters) -> Network:
-    """Each pond connector becomes an outlet junction with orifice, weir and outflow."""
-    if "wb_area_m2" not in n.nodes.columns:
-        return n
-    link = n.edges.where("edge_type = 'pond_connector'").select(F.col("u").alias("pond_id"), F.col("v").alias("anchor"))
-    xy = n.nodes.select(F.col("node_id").alias("anchor"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("surface_elevation").alias("az"))
-    w = n.nodes.where("wb_area_m2 is not null").select(F.col("node_id").alias("pond_id"), "x", "y", F.col("wb_orifice_diam_m").alias("orifice"), F.col("wb_weir_crest_m").alias("weir_crest"))
-    anchor = link.join(xy, "anchor")
-    nodes, edges = ponds.outlet_rows(w, anchor.drop("az"), p.ponds)
-    nodes = nodes.join(anchor.select((-F.col("pond_id")).alias("node_id"), F.col("az").alias("surface_elevation")), "node_id")
-    edges = edges.withColumn("key", F.lit(0)).withColumn("length", F.lit(1.0))
-    return n.with_nodes(n.nodes.unionByName(nodes, allowMissingColumns=True)).with_edges(n.edges.where("edge_type <> 'pond_connector'").unionByName(edges, allowMissingColumns=True))
+    crs = "EPSG:32617"
+    if meta is None:
+        found = json.loads(spark.read.text(f"{path}/manifest").first()["value"]) if there("manifest") else {"crs": crs, "meta": {}}
+        crs, meta = found["crs"], {k: spark.read.parquet(v["table"]) if "table" in v else v["value"] for k, v in found["meta"].items()}
+    return Network(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/subs") if has else None, crs, meta)
 
 
+#: All steps in their order; ids, geometries and both are set more than once.
 STEPS = [
-    Step("remove_unwanted", remove_unwanted), Step("merge_short", merge_short), Step("insert_ponds", insert_ponds), Step("give_ids", give_ids), Step("both_ways", both_ways), Step("no_crossings", no_crossings), Step("slopes", slopes),
-    Step("weights", weights), Step("derive", derive), Step("pipes", pipes), Step("drops", drops), Step("pond_outlets", pond_outlets), Step("river_channels", river_channels), Step("orphan_subs", orphan_subs), Step("street_channels", street_channels),
+    Step("assign_ids", steps.assign_ids), Step("remove_unwanted", steps.remove_unwanted), Step("clean_streets", steps.clean_streets), Step("street_cover", steps.street_cover), Step("to_undirected", steps.to_undirected),
+    Step("split_long", steps.split_long), Step("merge_short", steps.merge_short), Step("assign_ids_again", steps.assign_ids), Step("contributing_area", steps.contributing_area), Step("insert_ponds", steps.insert_ponds),
+    Step("elevation", steps.elevation), Step("both_ways", steps.both_ways), Step("fix_geometries", steps.fix_geometries), Step("no_crossings", steps.no_crossings), Step("surface_slope", steps.surface_slope), Step("slope_cost", steps.slope_cost),
+    Step("weights", steps.weights), Step("identify_outfalls", steps.identify_outfalls), Step("derive", steps.derive), Step("connect_components", steps.connect_components), Step("break_intake_cycles", steps.break_intake_cycles), Step("pipes", steps.pipes),
+    Step("drops", steps.drops), Step("river_channels", steps.river_channels), Step("outfall_slope", steps.outfall_slope), Step("pond_outlets", steps.pond_outlets), Step("route_into_ponds", steps.route_into_ponds), Step("reroute_subs", steps.reroute_subs),
+    Step("enclosed_gaps", steps.enclosed_gaps), Step("resize_pipes", steps.resize_pipes), Step("resize_orifices", steps.resize_orifices), Step("fix_geometries_again", steps.fix_geometries), Step("assign_ids_last", steps.assign_ids), Step("simplify", steps.simplify_network),
+    Step("orphan_subs", steps.orphan_subs), Step("street_channels", steps.street_channels),
 ]
 #: These only act on a network with ponds.
-PONDS = ("insert_ponds", "pond_outlets")
+PONDS = ("insert_ponds", "break_intake_cycles", "pond_outlets", "route_into_ponds", "reroute_subs", "enclosed_gaps", "resize_pipes", "resize_orifices")
 #: What a bare network leaves out.
-BARE = ("drops", "orphan_subs", "street_channels")
+BARE = ("connect_components", "drops", "simplify", "street_channels")
 
 
 def build_pipeline(bare: bool = False, with_ponds: bool = False) -> Pipeline:

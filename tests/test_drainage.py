@@ -286,7 +286,7 @@ def test_pipeline_resumes(spark, tmp_path):
     whole = key(build_pipeline().run(Network(nodes, edges), folder=folder))
     again = key(build_pipeline().run(None, spark=spark, folder=folder, resume_after="weights"))
     assert whole == again and sum(d is not None for _, _, d in whole) == 15
-    assert [s.name for s in build_pipeline(bare=True).steps][-1] == "river_channels"
+    assert [len(build_pipeline(**k).steps) for k in ({}, {"with_ponds": True}, {"bare": True})] == [28, 36, 24]
     with pytest.raises(ValueError):
         build_pipeline().run(None, spark=spark, folder=folder, resume_after="nothing")
     with pytest.raises(FileNotFoundError):
@@ -334,13 +334,18 @@ def test_model_from_lines(spark, tmp_path):
     cells = spark.createDataFrame([(r, c, 5.0 + 0.2 * (r + c)) for r in range(-6, 14) for c in range(-6, 20)], "row_ long, col_ long, value double")
     n, doc = model.synthesise(spark, lines, cells, 10.0, folder=f"file://{tmp_path}/run")
     kinds = {r["edge_type"]: r["count"] for r in n.edges.groupBy("edge_type").count().collect()}
-    assert kinds == {"pipe": 12, "river": 1, "street_channel": 12, "orifice": 13}
+    assert kinds == {"pipe": 11, "outfall": 1, "river": 1, "street_channel": 11, "orifice": 12}
+    assert n.subs.agg(F.sum("area")).first()[0] == cells.count() * 100
     assert n.edges.where("edge_type = 'pipe' and (diameter is null or diameter < 0.15)").count() == 0
     text = [r["text"] for r in doc.orderBy("section_no", "ord", "ord_text").collect()]
-    for section in ("[TITLE]", "[JUNCTIONS]", "[OUTFALLS]", "[CONDUITS]", "[ORIFICES]", "[XSECTIONS]", "[COORDINATES]"):
+    for section in ("[TITLE]", "[SUBCATCHMENTS]", "[SUBAREAS]", "[INFILTRATION]", "[JUNCTIONS]", "[OUTFALLS]", "[CONDUITS]", "[ORIFICES]", "[XSECTIONS]", "[MAP]", "[COORDINATES]"):
         assert section in text
-    between = text[text.index("[CONDUITS]") + 2 : text.index("[ORIFICES]") - 1]
-    assert len(between) == 25
+    body = lambda name: [x.split() for x in text[text.index(f"[{name}]") + 2 : next(i for i, x in enumerate(text[text.index(f"[{name}]") :], text.index(f"[{name}]")) if not x)]]
+    links, ends = body("CONDUITS") + body("ORIFICES"), {x[0] for x in body("OUTFALLS")}
+    names = {x[0] for x in body("JUNCTIONS")} | ends
+    assert {x[0] for x in body("COORDINATES")} == names and all(x[1] in names and x[2] in names for x in links)
+    assert all(sum(x[2] == e for x in links) <= 1 and not any(x[1] == e for x in links) for e in ends) and ends
+    assert all(x[2] in names for x in body("SUBCATCHMENTS"))
 
 
 def test_ponds_in_the_pipeline(spark, tmp_path):
@@ -349,5 +354,8 @@ def test_ponds_in_the_pipeline(spark, tmp_path):
     water = spark.createDataFrame([(901, 21.0, 12.0, 900.0, "pond"), (902, 22.0, 11.0, 600.0, None), (903, 5.0, 5.0, 900.0, "lake"), (904, 900.0, 900.0, 900.0, "pond")], "pond_id long, x double, y double, area_m2 double, water string")
     out = build_pipeline(bare=True, with_ponds=True).run(Network(nodes, edges, meta={"ponds": water}), folder=f"file://{tmp_path}")
     kinds = {r["edge_type"]: r["count"] for r in out.edges.groupBy("edge_type").count().collect()}
-    assert kinds == {"pipe": 15, "orifice": 1, "weir": 1, "pond_outflow": 1}
+    assert kinds == {"pipe": 14, "orifice": 1, "weir": 1, "pond_outflow": 1, "pond_inflow": 1}
+    text = [r["text"] for r in model.document(spark, out).orderBy("section_no", "ord", "ord_text").collect()]
+    at = text.index("[STORAGE]")
+    assert text[at + 2].split()[0] == "901" and text[at + 2].split()[4:6] == ["TABULAR", "901_curve"] and "[WEIRS]" in text and "[LOSSES]" in text and "[CURVES]" in text
     assert {r["node_id"] for r in out.nodes.where("node_type in ('water_body', 'outlet_junction')").collect()} == {901, -901}
