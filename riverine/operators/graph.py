@@ -34,7 +34,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 1
         near = state.join(least.withColumnRenamed("a", "node"), "node", "left").withColumn("r", F.least("root", F.coalesce("r", "root")))
         hook = near.groupBy("root").agg(F.min("r").alias("to"))
         moved = near.join(hook, "root").select("node", F.least("r", "to").alias("root"))
-        jump = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        # of the labels' own labels only those of labels: few once a network is one component, so no task gets all its rows
+        jump = moved.select(F.col("node").alias("root"), F.col("root").alias("up")).join(moved.select("root").distinct(), "root", "left_semi")
         state = cut(moved.join(jump, "root").select("node", F.col("up").alias("root")))
         now = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == last:
@@ -127,26 +128,66 @@ def shortest_forest(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) ->
     raise RuntimeError("labels did not settle")
 
 
-def turn_forest(edges: DataFrame, nodes: DataFrame, roots: DataFrame, angle_scale: float = 0.3) -> DataFrame:
-    """(node, dist, next, root) with a cost of turning at each node, which depends on the node's final next.
+#: Stands for no next node, before all ids.
+_NONE = -(1 << 63) + 1
 
-    Labels settle in ascending order, so each weakly connected component is
-    solved whole by a heap; components are independent tasks.
-    """
-    part = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), nodes.select(F.col("node_id").alias("node")))
-    rows = (
-        edges.groupBy("u", "v").agg(F.min("weight").alias("weight"))
-        .join(nodes.select(F.col("node_id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy")), "u")
-        .join(nodes.select(F.col("node_id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
-        .join(part.withColumnsRenamed({"node": "u", "root": "part"}), "u")
-        .join(roots.select(F.col("node").alias("v"), F.lit(True).alias("is_root")), "v", "left")
-    )
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        found = settle(group, angle_scale)
-        return pd.DataFrame(found, columns=["node", "dist", "next", "root"])
+def _blocks(nodes: DataFrame, size: int) -> DataFrame:
+    """(node, x, y, tile): nodes (node_id, x, y) in blocks of about so many neighbours, cut from a curve that winds through the plane."""
+    n = nodes.select(F.col("node_id").alias("node"), "x", "y")
+    many = -(-nodes.count() // size)
+    if many <= 1:
+        return n.withColumn("tile", F.lit(0))
+    box = n.agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d")).first()
+    grid = lambda c, lo, hi: F.least(F.greatest(F.floor((F.coalesce(F.col(c), F.lit(lo)) - lo) / max(hi - lo, 1e-9) * 65_536), F.lit(0)), F.lit(65_535)).cast("long")
+    n = n.withColumn("gx", grid("x", box["a"], box["c"])).withColumn("gy", grid("y", box["b"], box["d"]))
+    key = F.lit(0).cast("long")
+    for bit in range(16):
+        for at, c in enumerate(("gx", "gy")):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1)), 2 * bit + at))
+    at = n.withColumn("key", key).repartitionByRange(many, "key", "node").withColumn("tile", F.spark_partition_id())
+    return cut(at.select("node", "x", "y", "tile"))
 
-    return rows.groupBy("part").applyInPandas(solve, "node long, dist double, next long, root long")
+
+def turn_forest(edges: DataFrame, nodes: DataFrame, roots: DataFrame, angle_scale: float = 0.3, block: int = 50_000, rounds: int = 10_000) -> DataFrame:
+    """(node, dist, next, root) with a cost of turning at each node, which depends on the node's final next.
+
+    Labels settle in ascending order, by a heap, within blocks of neighbouring
+    nodes, one task each; a block takes the labels that nodes beyond it had in
+    the last round as they are.  Blocks are solved again while such a label
+    changes: a network is one block up to `block` nodes, and however large it
+    is, no task sees more.  Ties: distance, then node, next and root.
+    """
+    at = _blocks(nodes, block)
+    end = lambda c: at.withColumnsRenamed({"node": c, "x": f"{c}x", "y": f"{c}y", "tile": f"{c}t"})
+    arcs = cut(edges.groupBy("u", "v").agg(F.min("weight").alias("weight")).join(end("u"), "u").join(end("v"), "v"))
+    starts = roots.select("node").distinct().join(at, "node").select(F.col("node").alias("u"), F.lit(_NONE).alias("v"), F.lit(0.0).alias("weight"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("tile").alias("ut"), *[F.lit(None).cast("double").alias(c) for c in ("vx", "vy")], F.col("tile").alias("vt"))
+    rows = cut(arcs.select("u", "v", "weight", "ux", "uy", "ut", "vx", "vy", "vt").unionByName(starts)).withColumnRenamed("ut", "tile")
+    over = cut(arcs.where("ut <> vt").select(F.col("ut").alias("tile"), F.col("v").alias("node")).distinct())
+    kinds = "tile int, node long, dist double, next long, root long, nx double, ny double"
+
+    def solve(key, inside: pd.DataFrame, beyond: pd.DataFrame) -> pd.DataFrame:
+        found = settle(inside, beyond, angle_scale)
+        out = pd.DataFrame([(key[0], *x) for x in found], columns=["tile", "node", "dist", "next", "root", "nx", "ny"])
+        return out.astype({"nx": "float64", "ny": "float64"})
+
+    empty = edges.sparkSession.createDataFrame([], kinds)
+    state, active = empty, None
+    for _ in range(rounds):
+        some = rows if active is None else rows.join(active, "tile", "left_semi")
+        known = over.join(state.drop("tile"), "node")
+        known = known if active is None else known.join(active, "tile", "left_semi")
+        solved = cut(some.groupBy("tile").cogroup(known.groupBy("tile")).applyInPandas(solve, kinds))
+        kept = empty if active is None else state.join(active, "tile", "left_anti")
+        was = state.select("node", F.struct("dist", "next", "root").alias("was"))
+        rim = over.select("node").distinct()
+        changed = rim.join(solved, "node").join(was, "node", "left").where(~F.col("was").eqNullSafe(F.struct("dist", "next", "root"))).select("node")
+        gone = rim.join(was, "node").join(solved.select("node"), "node", "left_anti") if active is None else rim.join(state.join(active, "tile", "left_semi"), "node").join(solved.select("node"), "node", "left_anti")
+        active = cut(over.join(changed.unionByName(gone.select("node")), "node").select("tile").distinct())
+        state = cut(kept.unionByName(solved))
+        if not active.take(1):
+            return state.select("node", "dist", F.when(F.col("next") != _NONE, F.col("next")).alias("next"), "root")
+    raise RuntimeError("labels did not settle")
 
 
 def _bend(xy, a, b, c) -> float:
@@ -161,26 +202,41 @@ def _bend(xy, a, b, c) -> float:
     return 1.0 if t < 30 else 0.8 * abs(90 - t) / 60 + 0.2 if t < 135 else 0.4 * (180 - t) / 90
 
 
-def settle(group: pd.DataFrame, angle_scale: float) -> list[tuple]:
-    """Settled labels of one component; ties by distance, then node."""
-    xy, into, roots = {}, {}, set()
-    for r in group.itertuples():
-        xy[r.u], xy[r.v] = (r.ux, r.uy), (r.vx, r.vy)
-        into.setdefault(r.v, []).append((r.u, r.weight))
-        if r.is_root is True or r.is_root == 1:
-            roots.add(r.v)
-    heap = [(0.0, n, None, n) for n in sorted(roots)]
-    done: dict = {}
-    while heap:
-        dist, node, nxt, root = heapq.heappop(heap)
-        if node in done:
-            continue
-        done[node] = (dist, nxt, root)
+def settle(inside: pd.DataFrame, beyond: pd.DataFrame, angle_scale: float) -> list[tuple]:
+    """(node, dist, next, root, x and y of next) of a block's nodes; beyond: labels of nodes outside, which are taken as they are.
+
+    inside has an arc (u, v, weight, ends' places) a row, and one without v for each root; no next is _NONE, so that ids stay whole numbers.
+    """
+    xy, into, heap = {}, {}, []
+    for u, v, weight, ux, uy, vx, vy in zip(*[inside[c].tolist() for c in ("u", "v", "weight", "ux", "uy", "vx", "vy")], strict=True):
+        xy[u] = (ux, uy)
+        if v == _NONE:
+            heap.append((0.0, u, _NONE, u))
+        else:
+            xy[v] = (vx, vy)
+            into.setdefault(v, []).append((u, weight))
+
+    def offer(node, dist, nxt, root, done):
         for up, weight in into.get(node, ()):
             if up not in done:
-                bend = 0.0 if nxt is None else angle_scale * _bend(xy, up, node, nxt)
+                bend = 0.0 if nxt == _NONE else angle_scale * _bend(xy, up, node, nxt)
                 heapq.heappush(heap, (dist + weight + bend, up, node, root))
-    return [(n, *x) for n, x in sorted(done.items())]
+
+    done: dict = {}
+    heapq.heapify(heap)
+    for node, dist, nxt, root, nx, ny in zip(*[beyond[c].tolist() for c in ("node", "dist", "next", "root", "nx", "ny")], strict=True):
+        if nxt != _NONE:
+            xy.setdefault(nxt, (nx, ny))
+        offer(node, dist, nxt, root, done)
+    while heap:
+        dist, node, nxt, root = heapq.heappop(heap)
+        if node not in done:
+            done[node] = (dist, nxt, root)
+            offer(node, dist, nxt, root, done)
+    out = []
+    for node, (dist, nxt, root) in sorted(done.items()):
+        out.append((node, dist, nxt, root, *xy.get(nxt, (None, None))))
+    return out
 
 
 def _kruskal(batches):

@@ -35,13 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder; a lost executor costs a re-read.
 
     The files go when no table that was made from it is left: a fixpoint keeps
-    the states of a few rounds and not of all.
+    the states of a few rounds and not of all.  What the optimizer had inferred
+    about the plan isn't handed on: its estimated sizes are products of those
+    before, numbers of twice the digits in every round.  Adaptive execution
+    measures the sizes anyway.
     """
-    shared_folder(df.sparkSession)
-    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    spark = df.sparkSession
+    shared_folder(spark)
+    conf = spark.sparkContext._jsc.sc().conf()
     was = conf.get(_CLEAN, "false")
     conf.set(_CLEAN, "true")
     try:
-        return df.checkpoint()
+        kept = df.checkpoint()
     finally:
         conf.set(_CLEAN, was)
+    rows = kept._jdf.queryExecution().logical().rdd()
+    return type(kept)(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)

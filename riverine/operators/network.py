@@ -46,9 +46,12 @@ def keep_types(network: Network, types: list[str]) -> Network:
 
 def assign_ids(edges: DataFrame) -> DataFrame:
     """id: the edge's own if unique, else u-v, else u-v-type; of edges that still collide the first by key stays."""
-    own = Window.partitionBy("id")
     plain = F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string"))
-    out = edges.withColumn("plain", plain).withColumn("id", F.when(F.col("id").isNotNull() & (F.count("*").over(own) == 1), F.col("id")))
+    # edges without an id, often all of them, are kept out of the join by id
+    named, bare = edges.where("id is not null"), edges.where("id is null")
+    more = named.groupBy("id").agg(F.count("*").alias("uses"))
+    named = named.join(more, "id").withColumn("id", F.when(F.col("uses") == 1, F.col("id"))).select(*edges.columns)
+    out = named.unionByName(bare).withColumn("plain", plain)
     first = Window.partitionBy("plain", F.col("id").isNull()).orderBy("edge_type", "key")
     out = out.withColumn("n", F.row_number().over(first)).withColumn("id", F.coalesce("id", F.when(F.col("n") == 1, F.col("plain")).otherwise(F.concat_ws("-", "plain", "edge_type"))))
     last = Window.partitionBy("id").orderBy("n", "u", "v", "key")

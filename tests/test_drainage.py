@@ -278,6 +278,21 @@ def test_rounds_that_run_out_raise(spark):
         simplify.dangling(succ, succ.select("node", F.lit(1.0).alias("area")), succ.where("node = 9").select("node"), 100.0, rounds=1)
 
 
+@pytest.mark.parametrize("block", [5, 12])
+def test_turn_forest_by_blocks(spark, block):
+    """Small blocks, solved again while labels beyond them change, give what one heap over everything gives."""
+    import random
+
+    rng = random.Random(2)
+    side = 7
+    nodes = spark.createDataFrame([(i * side + j, 10.0 * i, 10.0 * j) for i in range(side) for j in range(side)], "node_id long, x double, y double")
+    pairs = [(a, b) for i in range(side) for j in range(side) for a, b in ((i * side + j, (i + 1) * side + j), (i * side + j, i * side + j + 1)) if b < side * side and (b - a == side or b % side)]
+    edges = spark.createDataFrame([(u, v, rng.choice([1.0, 1.5, rng.random() + 0.1])) for a, b in pairs for u, v in ((a, b), (b, a))], "u long, v long, weight double")
+    roots = spark.createDataFrame([(0,), (side * side - 1,)], "node long")
+    whole = sorted(tuple(r) for r in graph.turn_forest(edges, nodes, roots, 0.3).collect())
+    assert sorted(tuple(r) for r in graph.turn_forest(edges, nodes, roots, 0.3, block=block).collect()) == whole and len(whole) == side * side
+
+
 def test_pipeline_resumes(spark, tmp_path):
     nodes, edges = grid(spark)
     nodes = nodes.withColumn("node_type", F.when(F.col("node_id") == 0, "river_outfall"))
