@@ -355,7 +355,7 @@ def test_model_from_lines(spark, tmp_path):
     text = [r["text"] for r in doc.orderBy("section_no", "ord", "ord_text").collect()]
     for section in ("[TITLE]", "[SUBCATCHMENTS]", "[SUBAREAS]", "[INFILTRATION]", "[JUNCTIONS]", "[OUTFALLS]", "[CONDUITS]", "[ORIFICES]", "[XSECTIONS]", "[MAP]", "[COORDINATES]"):
         assert section in text
-    body = lambda name: [x.split() for x in text[text.index(f"[{name}]") + 2 : next(i for i, x in enumerate(text[text.index(f"[{name}]") :], text.index(f"[{name}]")) if not x)]]
+    body = lambda name: [x.split() for x in text[text.index(f"[{name}]") + 2 : next((i for i, x in enumerate(text[text.index(f"[{name}]") :], text.index(f"[{name}]")) if not x), len(text))]]
     links, ends = body("CONDUITS") + body("ORIFICES"), {x[0] for x in body("OUTFALLS")}
     names = {x[0] for x in body("JUNCTIONS")} | ends
     assert {x[0] for x in body("COORDINATES")} == names and all(x[1] in names and x[2] in names for x in links)
