@@ -177,7 +177,7 @@ def test_many_rounds_keep_plans_small(spark):
     a = cut(spark.range(10).selectExpr("id", "id as v"))
     for _ in range(30):
         a = cut(a.join(a.selectExpr("id", "v as w"), "id").selectExpr("id", "v + w % 2 as v"))
-    assert a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= 64 and a.count() == 10
+    assert a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64 and a.count() == 10
     assert scratch(spark, "x") != scratch(spark, "x")
 
 
