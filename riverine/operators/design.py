@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import numeric
 from ..params import Channels, Hydraulics
 from . import graph
+from .iterate import cut
 
 
 def channels(nodes: DataFrame, p: Channels) -> DataFrame:
@@ -51,20 +52,47 @@ def resize(edges: DataFrame, flows: DataFrame, p: Hydraulics) -> DataFrame:
     return need.drop("need").join(above.withColumnRenamed("node", "u"), "u").withColumn("diameter", F.greatest("diameter", "most")).drop("most", "q")
 
 
-def pipe_by_pipe(edges: DataFrame, nodes: DataFrame, p: Hydraulics) -> DataFrame:
-    """u, v, diameter, slope, velocity, fill, cost_usd, us_invert, ds_invert of every pipe (u, v, length).
+def pipe_by_pipe(edges: DataFrame, nodes: DataFrame, p: Hydraulics, block: int = 20_000, rounds: int = 10_000) -> DataFrame:
+    """u, v, diameter, slope, velocity, fill, cost_usd, us_invert, ds_invert of every pipe (u, v, length) of an acyclic network.
 
-    Inverts depend on all pipes above, in order, so each weakly connected
-    component is sized whole in one task; components are independent.
+    Inverts depend on all pipes above, in order.  A weakly connected component
+    of up to `block` nodes is sized in one task; larger ones are cut into
+    blocks of neighbouring nodes (x, y), a task each, which take what pipes
+    from other blocks brought in the last round as given, and are sized again
+    while that changes.
     """
-    part = graph.components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    n = nodes.select("node_id", F.col("surface_elevation").alias("z"), F.col("contributing_area").alias("area"))
-    rows = edges.join(n.withColumnsRenamed({"node_id": "u", "z": "zu", "area": "au"}), "u").join(n.withColumnsRenamed({"node_id": "v", "z": "zv", "area": "av"}), "v").join(part.withColumnsRenamed({"node": "u", "root": "part"}), "u")
-
-    def size(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(design_component(group, p), columns=["u", "v", "diameter", "slope", "velocity", "fill", "cost_usd", "us_invert", "ds_invert"])
-
-    return rows.groupBy("part").applyInPandas(size, "u long, v long, diameter double, slope double, velocity double, fill double, cost_usd double, us_invert double, ds_invert double")
+    part = graph.components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "node_id")
+    big = cut(part.join(part.groupBy("root").count().where(F.col("count") > block).select("root"), "root", "left_semi"))
+    tiles = None
+    if "x" in nodes.columns and big.take(1):
+        tiles = graph.blocks(nodes.join(big, "node_id", "left_semi").select("node_id", "x", "y"), block).select(F.col("node").alias("node_id"), "tile")
+    at = part.withColumn("tile", F.lit(0)) if tiles is None else part.join(tiles, "node_id", "left").withColumn("tile", F.coalesce("tile", F.lit(0)))
+    n = nodes.select("node_id", F.col("surface_elevation").alias("z"), F.col("contributing_area").alias("area")).join(at, "node_id")
+    end = lambda c: n.withColumnsRenamed({"node_id": c, "z": f"z{c}", "area": f"a{c}", "tile": f"t{c}", "root": f"r{c}"})
+    arcs = cut(edges.join(end("u"), "u").join(end("v"), "v").drop("rv"))
+    rows = arcs.withColumnsRenamed({"ru": "root", "tu": "tile"})
+    rim = cut(arcs.where("tu <> tv").select("u", "v", F.col("ru").alias("root"), F.col("tv").alias("tile")))
+    kinds = "root long, tile int, u long, v long, diameter double, slope double, velocity double, fill double, cost_usd double, us_invert double, ds_invert double, flow double"
+
+    def size(key, inside: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        found = design_component(inside, p, given)
+        return pd.DataFrame([(*key, *x) for x in found], columns=["root", "tile", "u", "v", "diameter", "slope", "velocity", "fill", "cost_usd", "us_invert", "ds_invert", "flow"])
+
+    on = ["root", "tile"]
+    state, active = edges.sparkSession.createDataFrame([], kinds), None
+    for _ in range(rounds):
+        some = rows if active is None else rows.join(active, on, "left_semi")
+        given = rim.join(state.select("u", "v", "diameter", "ds_invert", "flow"), ["u", "v"])
+        given = given if active is None else given.join(active, on, "left_semi")
+        sized = cut(some.groupBy(*on).cogroup(given.groupBy(*on)).applyInPandas(size, kinds))
+        rest = state if active is None else state.join(active, on, "left_anti")
+        now, was = (x.select("u", "v", F.struct("diameter", "ds_invert", "flow").alias(c)) for x, c in ((sized, "now"), (state, "was")))
+        moved = rim.join(now, ["u", "v"]).join(was, ["u", "v"], "left").where(~F.col("was").eqNullSafe(F.col("now")))
+        active = cut(moved.select(*on).distinct())
+        state = cut(rest.unionByName(sized))
+        if not active.take(1):
+            return state.drop("root", "tile", "flow")
+    raise RuntimeError("pipes did not settle: is there a cycle?")
 
 
 def _normal_depth(q: float, d: float, s: float) -> tuple[float, float, float]:
@@ -123,8 +151,11 @@ def _fits(q, d, slope, limited, p: Hydraulics):
     return fill, v
 
 
-def design_component(group: pd.DataFrame, p: Hydraulics) -> list[tuple]:
-    """Pipes of one component, upstream first: the first feasible diameter that no pipe above exceeds."""
+def design_component(group: pd.DataFrame, p: Hydraulics, given: pd.DataFrame | None = None) -> list[tuple]:
+    """Pipes of one component or block, upstream first: the first feasible diameter that no pipe above exceeds, and the flow in each.
+
+    given: what pipes from other blocks (v, diameter, ds_invert, flow) bring.
+    """
     z, area, out, waits = {}, {}, {}, {}
     for r in group.sort_values(["u", "v"]).itertuples():
         z[r.u], z[r.v], area[r.u], area[r.v] = r.zu, r.zv, r.au, r.av
@@ -132,6 +163,11 @@ def design_component(group: pd.DataFrame, p: Hydraulics) -> list[tuple]:
         waits[r.v] = waits.get(r.v, 0) + 1
     flow = dict(area)
     floor, least, found = {}, {}, []
+    if given is not None:
+        for v, d, bottom, more in sorted(zip(*[given[c].tolist() for c in ("v", "diameter", "ds_invert", "flow")], strict=True)):
+            floor[v], least[v] = max(floor.get(v, -math.inf), bottom), max(least.get(v, 0), d)
+            if v in flow:
+                flow[v] += more
     ready = sorted(n for n in z if not waits.get(n))
     while ready:
         node = ready.pop(0)
@@ -162,7 +198,7 @@ def design_component(group: pd.DataFrame, p: Hydraulics) -> list[tuple]:
             floor[down] = max(floor.get(down, -math.inf), end)
             least[down] = max(least.get(down, 0), d)
             flow[down] += flow[node]
-            found.append((node, down, d, slope, v, fill, cost, start, end))
+            found.append((node, down, d, slope, v, fill, cost, start, end, flow[node]))
             waits[down] -= 1
             if not waits[down]:
                 ready.append(down)

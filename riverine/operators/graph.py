@@ -132,7 +132,7 @@ def shortest_forest(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) ->
 _NONE = -(1 << 63) + 1
 
 
-def _blocks(nodes: DataFrame, size: int) -> DataFrame:
+def blocks(nodes: DataFrame, size: int) -> DataFrame:
     """(node, x, y, tile): nodes (node_id, x, y) in blocks of about so many neighbours, cut from a curve that winds through the plane."""
     n = nodes.select(F.col("node_id").alias("node"), "x", "y")
     many = -(-nodes.count() // size)
@@ -158,7 +158,7 @@ def turn_forest(edges: DataFrame, nodes: DataFrame, roots: DataFrame, angle_scal
     changes: a network is one block up to `block` nodes, and however large it
     is, no task sees more.  Ties: distance, then node, next and root.
     """
-    at = _blocks(nodes, block)
+    at = blocks(nodes, block)
     end = lambda c: at.withColumnsRenamed({"node": c, "x": f"{c}x", "y": f"{c}y", "tile": f"{c}t"})
     arcs = cut(edges.groupBy("u", "v").agg(F.min("weight").alias("weight")).join(end("u"), "u").join(end("v"), "v"))
     starts = roots.select("node").distinct().join(at, "node").select(F.col("node").alias("u"), F.lit(_NONE).alias("v"), F.lit(0.0).alias("weight"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("tile").alias("ut"), *[F.lit(None).cast("double").alias(c) for c in ("vx", "vy")], F.col("tile").alias("vt"))

@@ -181,6 +181,22 @@ def test_many_rounds_keep_plans_small(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
 
 
+@pytest.mark.parametrize("block", [6, 15])
+def test_pipes_by_blocks(spark, block):
+    """One large component, cut into blocks that are sized again while the pipes at their rim change."""
+    from riverine.operators import design
+    from riverine.params import Hydraulics
+
+    rng = random.Random(5)
+    nodes = [(i, 40.0 * (i % 7), 40.0 * (i // 7), 10.0 + 0.4 * i + rng.random(), 4000.0 * rng.random()) for i in range(49)]
+    edges = [(i, rng.choice([j for j in (i - 1, i - 7) if j >= 0 and (i - j == 7 or i % 7)]), 40.0) for i in range(1, 49)]
+    n = spark.createDataFrame(nodes, "node_id long, x double, y double, surface_elevation double, contributing_area double")
+    e = spark.createDataFrame(edges, "u long, v long, length double")
+    rows = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    whole = rows(design.pipe_by_pipe(e, n, Hydraulics()))
+    assert rows(design.pipe_by_pipe(e, n, Hydraulics(), block=block)) == whole and len(whole) == 48
+
+
 def test_longest_paths_refuse_rings(spark):
     with pytest.raises(RuntimeError):
         graph.longest_path(spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "u long, v long, weight double"), rounds=5)
