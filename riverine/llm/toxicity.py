@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_texts, smallest
+from .common import map_texts, smallest, written
 
 SENTENCES = re.compile(r"[.!?\n]+").split
 WORDS = re.compile(r"\w+").findall
@@ -160,6 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="
     ids = docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("id")).distinct()
     one_label = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"), F.max(F.col(label_col).cast("int")).alias("other")).where("y = other").drop("other")
     rows = ids.join(one_label, "id").withColumn("h", F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 63) - 1)))
+    rows = written(rows, "labelled")  # counted and drawn from: three numbers a labelled document
     pick = Window.partitionBy("y").orderBy("h", "id")
     sample = smallest(rows, "y", max_docs // 2).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= max_docs // 2).select("id", "y", "h")
     fetched = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") <= longest).limit(2 * max_docs)
