@@ -104,23 +104,31 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        return
+
+
 def pieces(batches, rows: int = 1000):
     """The Arrow batches in slices of at most so many rows; what is freed goes back to the system at the end.
 
     Python workers are reused by later tasks and stages, so memory that one
     keeps counts against the executor for good.
     """
-    import pyarrow as pa
-
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another libc
-        return
+    give_back()
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, start, columns: str, keep_text=False) -> DataFrame:

@@ -23,7 +23,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_texts, smallest
+from .common import give_back, map_texts, smallest
 
 
 _ALNUM = re.compile(r"[^\W\d_]+").findall
@@ -192,7 +192,10 @@ def fit_languages(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
     by: dict[str, list] = {}
     for r in sorted(some.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
         by.setdefault(r["lang"], []).append(r["text"])
-    return Identifier(order, **kinds).fit(by)
+    model = Identifier(order, **kinds).fit(by)
+    del by
+    give_back()  # the driver goes on for long after
+    return model
 
 
 def identify_languages(df: DataFrame, model: Identifier, id_col="doc_id", text_col="text", keep_text=False) -> DataFrame:

@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_texts, smallest, written
+from .common import give_back, map_texts, smallest, written
 
 SENTENCES = re.compile(r"[.!?\n]+").split
 WORDS = re.compile(r"\w+").findall
@@ -165,7 +165,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="
     sample = smallest(rows, "y", max_docs // 2).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= max_docs // 2).select("id", "y", "h")
     fetched = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") <= longest).limit(2 * max_docs)
     found = sorted((r["h"], str(r["id"]), r["text"], r["y"]) for r in fetched.collect())
-    return NoisyOr().fit([x[2] for x in found], [x[3] for x in found], **kinds)
+    model = NoisyOr().fit([x[2] for x in found], [x[3] for x in found], **kinds)
+    del found
+    give_back()  # the driver goes on for long after
+    return model
 
 
 def score_toxicity(df: DataFrame, model: NoisyOr, id_col="doc_id", text_col="text", threshold=0.7) -> DataFrame:
