@@ -95,6 +95,10 @@ SINKS = {"river_outfall": 1, "water_body_outfall": 2, "dummy_river": 3}
 WASTE = -(1 << 62)
 
 
+#: Least side of the tiles that rings are dealt to: a ring's copies grow with the square of its width over this.
+RING_TILE = 20.0
+
+
 def ring_segments(rings: DataFrame, key: str = "pond_id") -> DataFrame:
     """(river_id, x0, y0, x1, y1): the sides of rings, as the lines that nearest_lines takes."""
     i = F.sequence(F.lit(0), F.size("ring") - 1)
@@ -104,7 +108,7 @@ def ring_segments(rings: DataFrame, key: str = "pond_id") -> DataFrame:
 
 def near_rings(points: DataFrame, rings: DataFrame, within: float, key: str = "pond_id") -> DataFrame:
     """(node_id, pond_id, distance): for each point the nearest ring within a distance, none from inside it; ties: smaller id."""
-    inside = containing(points.select("node_id", "x", "y"), rings.select(key, "ring"), max(within, 1.0), "node_id", key).select("node_id", F.col(key).alias("pond_id"), F.lit(0.0).alias("distance"))
+    inside = containing(points.select("node_id", "x", "y"), rings.select(key, "ring"), max(within, RING_TILE), "node_id", key).select("node_id", F.col(key).alias("pond_id"), F.lit(0.0).alias("distance"))
     beside = nearest_lines(points, ring_segments(rings, key), within).select("node_id", F.col("river_id").alias("pond_id"), "distance")
     return inside.unionByName(beside).groupBy("node_id").agg(F.min(F.struct("distance", "pond_id")).alias("m")).select("node_id", "m.pond_id", "m.distance")
 
@@ -125,13 +129,13 @@ def pair_receiving(streets: DataFrame, rivers: DataFrame, waters: DataFrame | No
 
 
 def storage_basins(storages: DataFrame, basins: DataFrame, p: Outfalls) -> DataFrame:
-    """(pond_id, ring): the basin (basin_id, ring) of each storage (pond_id, x, y, area_m2) large enough: the nearest one that is
+    """(pond_id, basin_id, ring): the basin (basin_id, ring) of each storage (pond_id, x, y, area_m2) large enough: the nearest one that is
     no farther off than the footprint match, whose limit counts as near; none where no match is allowed."""
     if p.pond_footprint_match_m <= 0:
-        return storages.join(basins, F.lit(False)).select("pond_id", "ring")
+        return storages.join(basins, F.lit(False)).select("pond_id", "basin_id", "ring")
     s = storages.where(F.coalesce("area_m2", F.lit(0.0)) >= p.pond_intake_min_area_m2).select(F.col("pond_id").alias("node_id"), "x", "y")
     own = near_rings(s, basins, p.pond_footprint_match_m, "basin_id").select(F.col("node_id").alias("storage"), F.col("pond_id").alias("basin_id"))
-    return own.join(basins.select("basin_id", "ring"), "basin_id").select(F.col("storage").alias("pond_id"), "ring")
+    return own.join(basins.select("basin_id", "ring"), "basin_id").select(F.col("storage").alias("pond_id"), "basin_id", "ring")
 
 
 def intakes(streets: DataFrame, footprints: DataFrame, storages: DataFrame, parts: DataFrame, taken: DataFrame, p: Outfalls) -> DataFrame:
@@ -140,9 +144,9 @@ def intakes(streets: DataFrame, footprints: DataFrame, storages: DataFrame, part
     free = streets.where("coalesce(node_type, '') not in ('water_body', 'water_body_outfall')").join(taken, "node_id", "left_anti")
     near = near_rings(free, footprints, p.pond_intake_buffer_m)
     of = parts.select(F.col("node").alias("node_id"), F.col("root").alias("ru")), parts.select(F.col("node").alias("pond_id"), F.col("root").alias("rv"))
-    near = near.join(of[0], "node_id").join(of[1], "pond_id").where("ru = rv and node_id <> pond_id")
+    near = near.join(of[0].hint("merge"), "node_id").join(of[1].hint("merge"), "pond_id").where("ru = rv and node_id <> pond_id")
     at = free.select("node_id", "x", "y"), storages.select("pond_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    near = near.join(at[0], "node_id").join(at[1], "pond_id")
+    near = near.join(at[0].hint("merge"), "node_id").join(at[1].hint("merge"), "pond_id")
     return near.select(F.col("node_id").alias("u"), F.col("pond_id").alias("v"), geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("length"))
 
 
