@@ -109,8 +109,7 @@ OWN = f"SELECT s.pond_id, arg_min(b.basin_id, ({OFF.format(a='s', b='b')}, b.bas
 @query("SELECT pond_id, basin_id FROM own_", storage_=STORAGES, basin_=BASINS, own_=OWN)
 def pond_footprints(spark, d):
     found = outfalls.storage_basins(storages(spark, d), basins(spark, d), Outfalls(pond_intake_min_area_m2=10_000))
-    corner = basins(spark, d).select("basin_id", "ring")
-    return found.join(corner, "ring").select("pond_id", "basin_id")
+    return found.select("pond_id", "basin_id")
 
 
 @query(
