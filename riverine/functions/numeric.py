@@ -14,6 +14,11 @@ ROUGHNESS, DENSITY, GRAVITY, LEAST_SHEAR = 0.012, 1000.0, 9.81, 2.0
 PEAK_ANGLE = 5.3784
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded in binary, by the nearest whole multiple, as C and the SQL do; F.round goes by the shortest decimal instead."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def interpolate(x: Column, xs, ys, left=None, right=None) -> Column:
     """Piecewise linear through (xs, ys) (ascending xs); left and right of them the given values, else the end values."""
     out = F.when(x < xs[0], F.lit(float(ys[0] if left is None else left))).when(x > xs[-1], F.lit(float(ys[-1] if right is None else right)))
