@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ponds as fn
+from ..functions import numeric, ponds as fn
 from ..operators import subcatchments
 from ..params import Ponds
 from ..plans import emit, inp
@@ -58,13 +58,13 @@ FLOORS = "SELECT node_id, x, y, CASE WHEN node_id % 11 > 0 THEN round(surface_el
 
 
 def floors(spark, d):
-    return fx.nodes(spark, d).withColumn("chamber_floor_elevation", F.when(F.col("node_id") % 11 > 0, F.round(F.col("surface_elevation") - 3, 3)))
+    return fx.nodes(spark, d).withColumn("chamber_floor_elevation", F.when(F.col("node_id") % 11 > 0, numeric.rounded(F.col("surface_elevation") - 3, 3)))
 
 
 @query(select("OUTFALLS", "node_id", "floor_ WHERE node_id IN (SELECT v FROM fx_edges WHERE highway = 'track')", Name="CAST(node_id AS VARCHAR)", InvertElev=g("round(coalesce(floor, 0) - 1, 3)")), floor_=FLOORS)
 def inp_outfalls(spark, d):
     sinks = fx.edges(spark, d).where("highway = 'track'").select(F.col("v").alias("node_id")).distinct()
-    return lines("OUTFALLS", emit.outfall_rows(floors(spark, d), sinks).withColumn("InvertElev", F.round("InvertElev", 3)), "node_id")
+    return lines("OUTFALLS", emit.outfall_rows(floors(spark, d), sinks).withColumn("InvertElev", numeric.rounded(F.col("InvertElev"), 3)), "node_id")
 
 
 #: Stage-area curves of 2 m, embankments of up to 4 m more; some ponds have no curve, some are closed.
