@@ -17,12 +17,15 @@ def distance(ax, ay, bx, by) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value evaluated once: what a lambda mentions is evaluated anew at each mention, for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def segments(g: Column) -> Column:
     """Array of (ax, ay, bx, by) of consecutive points."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(g) - 1, F.lit(1))),
-        lambda i: F.struct(F.get(g, i - 1)["x"].alias("ax"), F.get(g, i - 1)["y"].alias("ay"), F.get(g, i)["x"].alias("bx"), F.get(g, i)["y"].alias("by")),
-    )
+    pair = lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
+    return bound(g, lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - 1, F.lit(1))), lambda i: pair(F.get(g, i - 1), F.get(g, i))))
 
 
 def length(g: Column) -> Column:
@@ -104,27 +107,17 @@ def at_share(g: Column, share: Column) -> Column:
 
 def segmentize(g: Column, longest: float) -> Column:
     """The line with points put in so that no segment is longer than `longest`."""
-    pieces = F.transform(
-        segments(g),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.ceil(distance(s["ax"], s["ay"], s["bx"], s["by"]) / longest).cast("int"), F.lit(1))),
-            lambda i: F.struct(
-                (s["ax"] + (s["bx"] - s["ax"]) * i / F.greatest(F.ceil(distance(s["ax"], s["ay"], s["bx"], s["by"]) / longest), F.lit(1))).alias("x"),
-                (s["ay"] + (s["by"] - s["ay"]) * i / F.greatest(F.ceil(distance(s["ax"], s["ay"], s["bx"], s["by"]) / longest), F.lit(1))).alias("y"),
-            ),
-        ),
-    )
-    return F.concat(F.slice(g, 1, 1), F.flatten(pieces))
+    count = lambda s: F.greatest(F.ceil(distance(s["ax"], s["ay"], s["bx"], s["by"]) / longest), F.lit(1))
+    at = lambda s, i, n: F.struct((s["ax"] + (s["bx"] - s["ax"]) * i / n).alias("x"), (s["ay"] + (s["by"] - s["ay"]) * i / n).alias("y"))
+    cut = lambda s: bound(count(s), lambda n: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: at(s, i, n)))
+    return bound(g, lambda g: F.concat(F.slice(g, 1, 1), F.flatten(F.transform(segments(g), cut))))
 
 
 def collapse(g: Column, shortest: float) -> Column:
     """Drops inner points nearer than `shortest` to the last kept one; the ends stay."""
-    kept = F.aggregate(
-        F.slice(g, 2, F.greatest(F.size(g) - 2, F.lit(0))),
-        F.slice(g, 1, 1),
-        lambda t, p: F.when(distance(F.element_at(t, -1)["x"], F.element_at(t, -1)["y"], p["x"], p["y"]) < shortest, t).otherwise(F.concat(t, F.array(p))),
-    )
-    return F.when(F.size(g) < 2, g).otherwise(F.concat(kept, F.slice(g, -1, 1)))
+    near = lambda q, p: distance(q["x"], q["y"], p["x"], p["y"]) < shortest
+    kept = lambda g: F.aggregate(F.slice(g, 2, F.greatest(F.size(g) - 2, F.lit(0))), F.slice(g, 1, 1), lambda t, p: F.when(near(F.element_at(t, -1), p), t).otherwise(F.concat(t, F.array(p))))
+    return bound(g, lambda g: F.when(F.size(g) < 2, g).otherwise(F.concat(kept(g), F.slice(g, -1, 1))))
 
 
 def join_lines(lines: Column) -> Column:

@@ -97,9 +97,18 @@ def fix_geometry(edges: DataFrame) -> DataFrame:
 
 def split_long(edges: DataFrame, longest: float = 60, shortest: float = 1) -> DataFrame:
     """One row per piece (id, part, ax, ay, bx, by, length) of lines cut into segments of at most `longest`."""
-    g = geo.collapse(geo.segmentize(F.col("geometry"), longest), shortest)
-    pieces = edges.select("id", F.posexplode(geo.segments(g)).alias("part", "s"))
-    return pieces.select("id", "part", "s.*").withColumn("length", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where("length > 0").dropDuplicates(["ax", "ay", "bx", "by"])
+    # pieces of a line of two points are longer than half of `longest`; if none can be too short, they come without lambdas
+    g, two = F.col("geometry"), F.coalesce(F.size("geometry") == 2, F.lit(False)) & F.lit(longest > 2.01 * shortest)
+    bent = F.when(~two, geo.segments(geo.collapse(geo.segmentize(g, longest), shortest)))
+    l = edges.select("id", two.alias("two"), bent.alias("bent"), *[F.get(g, i)[c].alias(f"{c}{i}") for i in (0, 1) for c in ("x", "y")])
+    count = F.greatest(F.ceil(geo.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) / longest), F.lit(1))
+    l = l.withColumn("n", F.when(F.col("two"), count).otherwise(F.size("bent")).cast("int"))
+    l = l.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda c, i: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * i / F.col("n")
+    start = lambda c: F.when(F.col("part") == 0, F.col(f"{c}0")).otherwise(at(c, F.col("part")))
+    ends = {"ax": start("x"), "ay": start("y"), "bx": at("x", F.col("part") + 1), "by": at("y", F.col("part") + 1)}
+    pieces = l.select("id", "part", *[F.when(F.col("two"), e).otherwise(F.get("bent", F.col("part"))[c]).alias(c) for c, e in ends.items()])
+    return pieces.withColumn("length", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where("length > 0").dropDuplicates(["ax", "ay", "bx", "by"])
 
 
 def short_clusters(edges: DataFrame, nodes: DataFrame, shortest: float = 5, widest: float = 15) -> DataFrame:
