@@ -16,28 +16,25 @@ def keep_longest(lines: DataFrame, digits: int = 3) -> DataFrame:
     return l.groupBy("ka", "kb").agg(F.min_by(F.struct(*lines.columns), F.struct(-F.col("len_"), "id")).alias("m")).select("m.*")
 
 
-def resample(g, n: int):
-    """n points at equal shares of a line's length."""
-    total = geo.length(g)
-    s = geo.segments(g)
-    cum = F.aggregate(s, F.array(F.lit(0.0)), lambda t, x: F.concat(t, F.array(F.element_at(t, -1) + geo.distance(x["ax"], x["ay"], x["bx"], x["by"]))))
-
-    def at(i):
-        want = total * i / (n - 1)
-        k = F.greatest(F.least(F.size(F.filter(cum, lambda c: c <= want)) - 1, F.size(g) - 2), F.lit(0))
-        lo, hi = F.get(cum, k), F.get(cum, k + 1)
-        share = F.when(hi > lo, F.least((want - lo) / (hi - lo), F.lit(1.0))).otherwise(0.0)
-        p, q = F.get(g, k), F.get(g, k + 1)
-        return F.struct((p["x"] + share * (q["x"] - p["x"])).alias("x"), (p["y"] + share * (q["y"] - p["y"])).alias("y"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
-
-
 def mean_parallel(lines: DataFrame, n: int = 10) -> DataFrame:
-    """(u, v, geometry): parallels from u to v as the mean of n equally spaced points."""
-    p = lines.select("u", "v", F.posexplode(resample(F.col("geometry"), n)).alias("i", "p"))
-    m = p.groupBy("u", "v", "i").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
-    return m.groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("s")).select("u", "v", F.transform("s", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("geometry"))
+    """(u, v, geometry): parallels from u to v as the mean of n points at equal shares of each line's length."""
+    g = F.col("geometry")
+    cum = F.aggregate(geo.segments(g), F.array(F.lit(0.0)), lambda t, x: F.concat(t, F.array(F.element_at(t, -1) + geo.distance(x["ax"], x["ay"], x["bx"], x["by"]))))
+    want = [F.col("total") * i / (n - 1) for i in range(n)]
+    find = lambda w: F.greatest(F.least(F.size(F.filter("cum", lambda c: c <= w)) - 1, F.size(g) - 2), F.lit(0))
+    # each step is a column of its own: what a lambda mentions is evaluated anew for each element
+    l = lines.select("u", "v", "geometry", cum.alias("cum"), geo.length(g).alias("total"))
+    l = l.select("*", *[find(w).alias(f"k{i}") for i, w in enumerate(want)])
+
+    def at(i, c):
+        k = F.col(f"k{i}")
+        lo, hi = F.get("cum", k), F.get("cum", k + 1)
+        share = F.when(hi > lo, F.least((want[i] - lo) / (hi - lo), F.lit(1.0))).otherwise(0.0)
+        p, q = F.get(g, k)[c], F.get(g, k + 1)[c]
+        return p + share * (q - p)
+
+    mean = [F.struct(*[F.avg(at(i, c)).alias(c) for c in ("x", "y")]) for i in range(n)]
+    return l.groupBy("u", "v").agg(F.array(*mean).alias("geometry"))
 
 
 def merge_close(points: DataFrame, within: float) -> DataFrame:
